@@ -37,6 +37,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.quality import FEATURES, judge
+
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), *FEATURES)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.warc import warc_round_trip
 
@@ -50,7 +57,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op7_warc, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op7_warc, op9_token_counts)}
 
 ORACLES: dict[str, str] = {
     # DuckDB has no base32: each 5 bits of the digest, taken from its hex digits, give a letter.
