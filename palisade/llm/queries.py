@@ -44,6 +44,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *FEATURES)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.decontaminate import contamination
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.warc import warc_round_trip
 
@@ -57,9 +64,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op7_warc, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op5_decontamination, op7_warc, op9_token_counts)}
 
 ORACLES: dict[str, str] = {
+    "op5_decontamination": """
+        with dw as (select doc_id, list_filter(regexp_split_to_array(lower_az, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+                    from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_az from documents)),
+        bw as (select item_id, list_filter(regexp_split_to_array(lower_az, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+               from (select cast(item_id as varchar) as item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_az from benchmark)),
+        windows as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as g
+                    from bw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as u(i) where len(w) > 0),
+        places as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+                   from dw, (select distinct n from windows) as sizes, unnest(range(1, len(w) - n + 2)) as u(i)),
+        occ as (select doc_id, i, n, item_id from places join windows using (n, g)),
+        hits as (select doc_id, count(distinct j) as n_hit from occ, unnest(range(i, i + n)) as u(j) group by doc_id),
+        names as (select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as s from (select distinct doc_id, item_id from occ) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+               coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from dw left join hits using (doc_id) left join names using (doc_id)""",
     # DuckDB has no base32: each 5 bits of the digest, taken from its hex digits, give a letter.
     "op7_warc": """
         with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
