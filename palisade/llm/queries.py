@@ -64,7 +64,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op5_decontamination, op7_warc, op9_token_counts)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op5_decontamination, op7_warc, op9_token_counts, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": """
