@@ -52,7 +52,7 @@ def _labels(key: tuple, part: int, counts: bytes):
     return np.random.default_rng([key[0], part]).permutation(np.repeat(np.arange(len(c), dtype=np.int32), c))
 
 
-def shard(docs: DataFrame, n_shards: int = 40, seed: int = 2024, rows_per_cell: int = 200_000, bare_scan: bool = False) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, seed: int = 2024, rows_per_cell: int = 50_000, bare_scan: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with ``shard`` (0 to ``n_shards`` - 1),
     ``slot`` (0, 1, ... within the shard, without gaps) and ``cell``.
 
