@@ -51,6 +51,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"), bare_scan=True)
+    return out.select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.warc import warc_round_trip
 
@@ -70,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op5_decontamination, op7_warc, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op5_decontamination, op6_line_dedup, op7_warc, op9_token_counts, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": """
