@@ -65,6 +65,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.token_counts import count_tokens
 
@@ -77,7 +83,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op5_decontamination, op6_line_dedup, op7_warc, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op5_decontamination, op6_line_dedup, op7_warc, op8_html, op9_token_counts, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": """
