@@ -15,6 +15,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.jaccard_join import similar
+
+    out = similar(table(spark, sf_dir, "documents"), bare_scan=True)
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.shards import shard
 
@@ -83,7 +90,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_files, op4_quality, op5_decontamination, op6_line_dedup, op7_warc, op8_html, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_sharding, op3_token_files, op4_quality, op5_decontamination, op6_line_dedup, op7_warc, op8_html, op9_token_counts, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": """
