@@ -9,16 +9,26 @@ worker; the store of cells is emptied when it is full, which costs time only.
 
 from __future__ import annotations
 
+import array
 import json
 import re
 from functools import lru_cache
 
+import numpy as np
+
 #: Bytes of new cells that one library call encodes.
 CALL_BYTES = 1 << 20
-#: Cells that a worker remembers.
-MAX_CELLS = 600_000
+#: New cells (of at most ``MAX_LENGTH`` characters) that one call encodes.
+CALL_CELLS = 50_000
+#: Characters of texts whose new cells are gathered before a call.
+RUN_CHARS = 4 << 20
+#: Cells that a worker remembers (about 200 bytes each), and their longest.
+MAX_CELLS = 1_400_000
+MAX_LENGTH = 64
 
 _ODD = re.compile(r"\s ")
+#: A white-space character and a space, in ASCII.
+_ODD_ASCII = tuple(c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
 
 
 def _cut_is_safe(spec: dict) -> bool:
@@ -34,7 +44,7 @@ class Library:
     """One tokenizer file: ``.json`` by tokenizers, ``.model`` by sentencepiece."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self._opens = path, None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -53,6 +63,14 @@ class Library:
             with open(path, encoding="utf-8") as f:
                 self.safe = _cut_is_safe(json.load(f))
 
+    def opens(self) -> np.ndarray:
+        """Which ids are tokens that begin with a space."""
+        if self._opens is None:
+            self._opens = np.zeros(self._tok.get_vocab_size(with_added_tokens=True), bool)
+            for token, i in self._tok.get_vocab(with_added_tokens=False).items():
+                self._opens[i] = token.startswith("\u0120")
+        return self._opens
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         if self._piece is not None:
             return self._piece.encode(texts, num_threads=1) if texts else []
@@ -84,72 +102,105 @@ def by_bytes(texts: list[str], most: int = CALL_BYTES):
 
 def cells(text: str) -> list[str] | None:
     """The parts between the spaces of ``text``, or None where a space follows
-    white space or begins or ends the text, so that a cut may not be safe."""
-    if not text or text[0].isspace() or text[-1] == " " or _ODD.search(text):
+    white space or begins or ends the text, so that a cut may not be safe, or
+    where the first part is long."""
+    if not text or text[0].isspace() or text[-1].isspace():
+        return None
+    if any([x in text for x in _ODD_ASCII]) if text.isascii() else _ODD.search(text):
         return None
-    return text.split(" ")
+    parts = text.split(" ")
+    return parts if len(parts[0]) <= MAX_LENGTH else None
 
 
 class Encoder:
-    """Maps whole texts to what ``value`` makes of a cell's ids."""
+    """Maps whole texts to their ids (as bytes) or to their number of ids.
 
-    def __init__(self, path: str, values, whole):
-        """``values``: list of texts -> list of values for cells; ``whole``:
-        joins the values of a text's cells."""
-        self.lib, self._values, self._whole = library(path), values, whole
+    New cells of a run of texts go to the library as one text. Each of them
+    begins with a space, and a space begins no other token, so the ids of a cell
+    run from one such token to the next.
+    """
+
+    def __init__(self, path: str, count: bool):
+        self.lib, self.count = library(path), count
         self._first: dict[str, object] = {}  # cells that begin a text
         self._next: dict[str, object] = {}  # cells after a space, without it
 
-    def _learn(self, store: dict, new: list[str], prefix: str) -> None:
+    def _whole(self, values):
+        return sum(values) if self.count else b"".join(values)
+
+    def _alone(self, texts: list[str]) -> list:
+        """Values of texts that are not cut."""
+        out = []
+        for batch in by_bytes(texts):
+            out += self.lib.lengths(batch) if self.count else [array.array("I", x).tobytes() for x in self.lib.ids(batch)]
+        return out
+
+    def _joined(self, parts: list[str]) -> list:
+        """Values of cells that follow a space."""
+        out = []
+        for at in range(0, len(parts), CALL_CELLS):
+            batch = parts[at : at + CALL_CELLS]
+            ids = np.array(self.lib.ids([" " + " ".join(batch)])[0], np.uint32)
+            start = np.flatnonzero(self.lib.opens()[ids])
+            if len(start) != len(batch):  # can't be, by what is said above
+                return self._alone([" " + p for p in parts])
+            end = np.append(start[1:], len(ids))
+            if self.count:
+                out += (end - start).tolist()
+            else:
+                raw = ids.astype("<u4").tobytes()
+                out += [raw[a:b] for a, b in zip((4 * start).tolist(), (4 * end).tolist())]
+        return out
+
+    @staticmethod
+    def _learn(store: dict, need: set, values) -> None:
+        new = [x for x in need if x not in store]
         if len(store) + len(new) > MAX_CELLS:
             store.clear()
-        for batch in by_bytes(new):
-            store.update(zip(batch, self._values(self.lib, [prefix + x for x in batch])))
+            new = list(need)
+        store.update(zip(new, values(new)))
 
     def encode(self, texts: list[str]) -> list:
-        out = [None] * len(texts)
+        """The values of ``texts``, in order."""
+        return [v for run in by_bytes(texts, RUN_CHARS) for v in self._run(run)]
+
+    def _run(self, texts: list[str]) -> list:
         split = [cells(t) if self.lib.safe else None for t in texts]
         odd = [i for i, s in enumerate(split) if s is None]
-        for batch in by_bytes([texts[i] for i in odd]):
-            for value in self._values(self.lib, batch):
-                out[odd.pop(0)] = self._whole([value])
-        for i, parts in enumerate(split):
-            if parts is None:
-                continue
-            head = parts[0]
-            if head not in self._first:
-                self._learn(self._first, [head], "")
-            first = self._first[head]
-            del parts[0]
-            try:
-                out[i] = self._whole([first, *map(self._next.__getitem__, parts)])
-            except KeyError:
-                need = set(parts)
-                new = [p for p in need if p not in self._next]
-                if len(self._next) + len(new) > MAX_CELLS:
-                    self._next.clear()
-                    new = list(need)
-                self._learn(self._next, new, " ")
-                out[i] = self._whole([first, *map(self._next.__getitem__, parts)])
+        out = [None] * len(texts)
+        for i, value in zip(odd, self._alone([texts[i] for i in odd])):
+            out[i] = value
+        self._learn(self._first, {s[0] for s in split if s}, self._alone)
+        get, first, parts, waiting = self._next.get, self._first, set(), []
+        for i, s in enumerate(split):
+            if s is not None:
+                values = list(map(get, s))
+                values[0] = first[s[0]]
+                if None in values:
+                    gaps = [k for k, v in enumerate(values) if v is None]
+                    parts.update([s[k] for k in gaps])
+                    waiting.append((i, values, gaps))
+                else:
+                    out[i] = self._whole(values)
+        long = [p for p in parts if len(p) > MAX_LENGTH]
+        once = dict(zip(long, self._alone([" " + p for p in long])))
+        parts.difference_update(long)
+        self._learn(self._next, parts, self._joined)
+        store = self._next
+        for i, values, gaps in waiting:
+            s = split[i]
+            for k in gaps:
+                values[k] = store[s[k]] if len(s[k]) <= MAX_LENGTH else once[s[k]]
+            out[i] = self._whole(values)
         return out
 
 
-def _counts(lib: Library, texts: list[str]) -> list[int]:
-    return lib.lengths(texts)
-
-
-def _packed(lib: Library, texts: list[str]) -> list[bytes]:
-    import array
-
-    return [array.array("I", x).tobytes() for x in lib.ids(texts)]
-
-
 @lru_cache(maxsize=4)
 def counter(path: str) -> Encoder:
-    return Encoder(path, _counts, sum)
+    return Encoder(path, True)
 
 
 @lru_cache(maxsize=4)
 def packer(path: str) -> Encoder:
     """Whole texts to their ids as little-endian unsigned 32-bit integers."""
-    return Encoder(path, _packed, b"".join)
+    return Encoder(path, False)
