@@ -75,7 +75,7 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """The weight of each bucket for documents outside the trusted sample, and
     for those in it; zeros where no trusted document is found."""
     d = _rows(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")), "id", "t").select("id", "w")
-    grams = _flagged(d, labels, rows).selectExpr("good", f"inline(transform(w, (x, i) -> struct({_UNI} as u, {_PAIR} as p)))").selectExpr("good", "explode(array(u, p)) as b")
+    grams = _flagged(d, labels, rows).selectExpr("good", f"inline_outer(transform(w, (x, i) -> struct({_UNI} as u, {_PAIR} as p)))").selectExpr("good", "explode(array(u, p)) as b")
     counts = grams.where("b is not null").groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")).collect()
     n_raw, n_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     out, own = [0] * BUCKETS, [0] * BUCKETS
@@ -134,5 +134,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_c
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return judge(docs, labels, threshold).where("kept").select("row.*")
+    """The rows of ``docs`` that are kept, with the columns of ``docs``.
+
+    The row number keeps the filter above the verdict: pushed below it, it would
+    have every feature computed again inside one expression."""
+    return judge(docs, labels, threshold).withColumn("at", F.monotonically_increasing_id()).where("kept and at >= 0").select("row.*")
