@@ -39,7 +39,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
     """h, id, r, p: the places (line p of row r) of the selected hashes."""
-    each = lines.selectExpr("r", "id", "posexplode(a) as (p, x)").selectExpr("r", "id", "p", "x.h as h", "x.n as n").where("n > 0")
+    each = lines.selectExpr("r", "id", "posexplode_outer(a) as (p, x)").selectExpr("r", "id", "p", "x.h as h", "x.n as n").where("n > 0")
     by = Window.partitionBy("r").orderBy("p")
     each = each.withColumn("c", F.sum("n").over(by) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("r")))
     window = Window.partitionBy("r").orderBy("c").rangeBetween(Window.currentRow, min_words - 1)
@@ -65,14 +65,15 @@ def _match(min_words: int) -> str:
 
 def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """r, runs (array of first and last line to delete) of the rows that have any."""
-    lines = _lines(rows)
+    lines = written(_lines(rows), shared_dir(rows.sparkSession, "line-hashes"))
     places = fingerprints(lines, min_words)
     first = places.groupBy("h").agg(F.min(F.struct("id", "r", "p")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "f.r", "f.p")
     pairs = places.join(first.withColumnsRenamed({"r": "r0", "p": "q"}), "h").where("r <> r0 or p <> q").select("r", "r0", F.struct("p", "q").alias("x"))
     grouped = pairs.groupBy("r", "r0").agg(F.sort_array(F.collect_set("x")).alias("anchors"))
     arrays = lines.select("r", "a")
     both = grouped.join(arrays.withColumnRenamed("a", "t"), "r").join(arrays.select(F.col("r").alias("r0"), F.col("a").alias("s")), "r0")
-    runs = both.select("r", F.expr(_match(min_words)).alias("runs")).where("size(runs) > 0")
+    # an empty list of runs is harmless; a filter here would be pushed down and match twice
+    runs = both.select("r", F.expr(_match(min_words)).alias("runs"))
     return runs.groupBy("r").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
