@@ -18,7 +18,7 @@ import struct
 import numpy as np
 
 MAGIC = b"PFOR1\0\0\0"
-BLOCK = 1024
+BLOCK = 4096
 PERCENTILE = 90
 _HEAD = struct.Struct("<HBBIH")  # ids, width, bits of the exceptions' high part, minimum, exceptions
 _FOOT = struct.Struct("<qqqqqq")  # documents at, index at, documents, blocks, ids, block size
@@ -119,7 +119,7 @@ class Writer:
         self.n_ids += len(ids) // 4
         self._held.append(ids)
         self._held_n += len(ids) // 4
-        if self._held_n >= 64 * BLOCK:
+        if self._held_n >= 32 * BLOCK:
             whole = np.frombuffer(b"".join(self._held), "<u4")
             full = len(whole) // BLOCK * BLOCK
             self._emit(whole[:full])

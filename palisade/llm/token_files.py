@@ -65,7 +65,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int =
 
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
     tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     files = written(dealt.mapInArrow(write, FILES), f"{root}/manifest")
     # one row a file: small enough for one task at any size
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
