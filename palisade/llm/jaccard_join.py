@@ -393,19 +393,20 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     with_words = sets.where("n > 0")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("r"))
     groups = written(with_words.groupBy("key").agg(F.min("r").alias("rep"), F.min(order).alias("low"), F.count(F.lit(1)).alias("copies")), f"{root}/groups")
-    first = with_words.join(groups.select(F.col("rep").alias("r")), "r", "left_semi")
+    # joins with one row per document are sort-merge joins at every size: what is broadcast would grow with the input
+    first = with_words.join(groups.select(F.col("rep").alias("r")).hint("merge"), "r", "left_semi")
     edges = _candidates(first, root, similarity, depth)
     parts = components(edges, f"{root}/candidates")
     size = parts.groupBy("c").count().select("c", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("g"))
     where = parts.join(size, "c").select(F.col("v").alias("r"), "c", "g", F.expr("cast(pmod(xxhash64(v), g) as int)").alias("b"))
-    members = where.join(texts.select("r", "t"), "r")
+    members = where.hint("merge").join(texts.select("r", "t"), "r")
     members = members.withColumn("o", F.explode(F.expr("sequence(0, g - 1)"))).withColumn("k", F.expr("xxhash64(c, least(b, o), greatest(b, o))"))
     links = written(_exact(members, similarity, n), f"{root}/links")
     count = links.groupBy("r").agg(F.sum("links").alias("links"))
     cls = components(links.where("r <> first").select(F.col("r").alias("u"), F.col("first").alias("v")), f"{root}/classes")
     rep = groups.join(count.withColumnRenamed("r", "rep"), "rep", "left").join(cls.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     rep = rep.join(rep.groupBy("c").agg(F.min("low").alias("best")), "c").select("key", "best", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), (F.col("copies") - 1).alias("more"))
-    out = sets.select("r", "id", F.expr("if(n > 0, key, null)").alias("key")).join(rep, "key", "left")
+    out = sets.select("r", "id", F.expr("if(n > 0, key, null)").alias("key")).join(rep.hint("merge"), "key", "left")
     return out.select(
         "r",
         "id",
@@ -423,4 +424,4 @@ def first_of_each(docs: DataFrame, bare_scan: bool = False, **options) -> DataFr
         docs = written(docs, shared_dir(docs.sparkSession, "near-input"))
     kept = similar(docs, bare_scan=True, **options).where("first").select("r")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("r"))
-    return rows.join(kept, "r", "left_semi").select("row.*")
+    return rows.join(kept.hint("merge"), "r", "left_semi").select("row.*")
