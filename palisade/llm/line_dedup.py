@@ -26,7 +26,7 @@ from palisade.llm.common import shared_dir, written
 MIN_WORDS = 50
 #: Lines to either side that are compared first; a match that goes on is then compared whole.
 NEAR = 64
-_BLANK = " \\t\\u000b\\f\\r"
+_BLANK = " \\t\\u000b\\u000c\\r"
 
 #: Of line l: 60 bits of its hash, 0 for a blank line; and its words.
 _HASH = f"if(trim(BOTH '{_BLANK}' FROM l) = '', 0L, cast(conv(substr(md5(l), 1, 15), 16, 10) as bigint))"
