@@ -34,7 +34,7 @@ TRUSTED_ROWS = 20_000
 #: Nats per n-gram below which a document goes.
 THRESHOLD = -0.05
 #: Corpus n-grams a bucket that the trusted counts are smoothed by.
-PRIOR = 50
+PRIOR = 200
 #: Steps of a weight in one nat.
 SCALE = 1024
 
