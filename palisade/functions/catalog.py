@@ -16,41 +16,43 @@ class Pii(NamedTuple):
     luhn: int = 0  # least digits for the checksum, 0: none
     re2: str = ""  # where the pattern looks behind: the same without
     gate: str = ""  # a text that every match has
+    first: str = ""  # a class that every match begins with, where the pattern's start is costly to test
+    digits: str = ""  # what every match has in its text's digit skeleton
 
 
 _US_PHONE = r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 
 PII = (
     Pii("email", LOCALES, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", gate="@"),
-    Pii("credit_card", LOCALES, r"\b(?:\d{13,19}|\d{4}(?:[ -]?\d{4}){2,4})\b", 12),
-    Pii("ip", LOCALES, r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
-    Pii("passport", LOCALES, r"\b[A-Z]\d{7}\b"),
-    Pii("phone", ("us",), _US_PHONE),
-    Pii("ssn", ("us",), r"\b\d{3}-\d{2}-\d{4}\b"),
-    Pii("iban", ("eu",), r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b"),
+    Pii("credit_card", LOCALES, r"\b(?:\d{13,19}|\d{4}(?:[ -]?\d{4}){2,4})\b", 12, first="[0-9]", digits=r"[0-9]{12}|[0-9]{4}x?[0-9]{4}x?[0-9]{4}"),
+    Pii("ip", LOCALES, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", first="[0-9]", digits=r"[0-9]x[0-9]{1,3}x[0-9]{1,3}x[0-9]"),
+    Pii("passport", LOCALES, r"\b[A-Z]\d{7}\b", digits=r"[0-9]{7}"),
+    Pii("phone", ("us",), _US_PHONE, first="[0-9+(]", digits=r"[0-9]{3}x?[0-9]{3}x?[0-9]{4}"),
+    Pii("ssn", ("us",), r"\b\d{3}-\d{2}-\d{4}\b", digits=r"[0-9]{3}x[0-9]{2}x[0-9]{4}"),
+    Pii("iban", ("eu",), r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b", digits=r"[0-9]{2}"),
     Pii("phone", ("eu",), r"(?<!\w)\+44\s?\d{2,5}[-.\s]?\d{3,4}[-.\s]?\d{3,4}\b", re2=r"\B\+44\s?\d{2,5}[-.\s]?\d{3,4}[-.\s]?\d{3,4}\b", gate="+44"),
     Pii("phone", ("eu",), r"(?<!\w)\+49\s?\d{2,5}[-.\s]?\d{4,8}\b", re2=r"\B\+49\s?\d{2,5}[-.\s]?\d{4,8}\b", gate="+49"),
     Pii("phone", ("eu",), r"(?<!\w)\+33\s?\d\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{2}\b", re2=r"\B\+33\s?\d\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{2}\b", gate="+33"),
     Pii("phone", ("eu",), r"(?<!\w)\+39\s?\d{2,4}[-.\s]?\d{6,8}\b", re2=r"\B\+39\s?\d{2,4}[-.\s]?\d{6,8}\b", gate="+39"),
     Pii("phone", ("eu",), r"(?<!\w)\+34\s?\d{3}\s?\d{3}\s?\d{3}\b", re2=r"\B\+34\s?\d{3}\s?\d{3}\s?\d{3}\b", gate="+34"),
-    Pii("phone", ("india",), r"(?<!\w)(?:\+?91[-.\s]?)?[6-9]\d{4}[-.\s]?\d{5}\b", re2=r"(?:\B\+91[-.\s]?|\b91[-.\s]?|\b)[6-9]\d{4}[-.\s]?\d{5}\b"),
-    Pii("aadhaar", ("india",), r"\b\d{4}\s?\d{4}\s?\d{4}\b"),
-    Pii("pan", ("india",), r"\b[A-Z]{5}\d{4}[A-Z]\b"),
-    Pii("cpf", ("brazil",), r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b"),
-    Pii("cnpj", ("brazil",), r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b"),
-    Pii("phone", ("brazil",), r"\b(?:\+?55[-.\s]?)?\(?\d{2}\)?[-.\s]?\d{4,5}[-.\s]?\d{4}\b"),
-    Pii("curp", ("mexico",), r"\b[A-Z]{4}\d{6}[HM][A-Z]{5}[A-Z0-9]\d\b"),
-    Pii("rfc", ("mexico",), r"\b[A-Z&Ñ]{3,4}\d{6}[A-Z0-9]{3}\b"),
-    Pii("phone", ("mexico",), r"\b(?:\+?52[-.\s]?)?\d{2,3}[-.\s]?\d{3,4}[-.\s]?\d{4}\b"),
-    Pii("my_number", ("japan",), r"\b\d{4}\s?\d{4}\s?\d{4}\b"),
-    Pii("phone", ("japan",), r"(?<!\w)(?:\+81|0)\d[-.\s]?\d{4}[-.\s]?\d{4}\b", re2=r"(?:\B\+81|\b0)\d[-.\s]?\d{4}[-.\s]?\d{4}\b"),
-    Pii("rrn", ("southKorea",), r"\b\d{6}-[1-4]\d{6}\b"),
-    Pii("phone", ("southKorea",), r"(?<!\w)(?:\+82|0)\d{2}[-.\s]?\d{3,4}[-.\s]?\d{4}\b", re2=r"(?:\B\+82|\b0)\d{2}[-.\s]?\d{3,4}[-.\s]?\d{4}\b"),
-    Pii("sin", ("canada",), r"\b\d{3}[-.\s]\d{3}[-.\s]\d{3}\b", 9),
-    Pii("phone", ("canada",), _US_PHONE),
-    Pii("tfn", ("australia",), r"\b\d{3}\s?\d{3}\s?\d{2,3}\b"),
-    Pii("medicare", ("australia",), r"\b\d{4}\s?\d{5}\s?\d{1,2}\b"),
-    Pii("phone", ("australia",), r"(?<!\w)(?:\+61|0)\s?\d\s?\d{4}\s?\d{4}\b", re2=r"(?:\B\+61|\b0)\s?\d\s?\d{4}\s?\d{4}\b"),
+    Pii("phone", ("india",), r"(?<!\w)(?:\+?91[-.\s]?)?[6-9]\d{4}[-.\s]?\d{5}\b", re2=r"(?:\B\+91[-.\s]?|\b91[-.\s]?|\b)[6-9]\d{4}[-.\s]?\d{5}\b", digits=r"[0-9]{5}x?[0-9]{5}"),
+    Pii("aadhaar", ("india",), r"\b\d{4}\s?\d{4}\s?\d{4}\b", digits=r"[0-9]{4}x?[0-9]{4}x?[0-9]{4}"),
+    Pii("pan", ("india",), r"\b[A-Z]{5}\d{4}[A-Z]\b", digits=r"[0-9]{4}"),
+    Pii("cpf", ("brazil",), r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", digits=r"[0-9]{3}x[0-9]{3}x[0-9]{3}x[0-9]{2}"),
+    Pii("cnpj", ("brazil",), r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b", digits=r"[0-9]{2}x[0-9]{3}x[0-9]{3}x[0-9]{4}x[0-9]{2}"),
+    Pii("phone", ("brazil",), r"\b(?:\+?55[-.\s]?)?\(?\d{2}\)?[-.\s]?\d{4,5}[-.\s]?\d{4}\b", first="[0-9+(]", digits=r"[0-9]{2}x?[0-9]{4,5}x?[0-9]{4}"),
+    Pii("curp", ("mexico",), r"\b[A-Z]{4}\d{6}[HM][A-Z]{5}[A-Z0-9]\d\b", digits=r"[0-9]{6}"),
+    Pii("rfc", ("mexico",), r"\b[A-Z&Ñ]{3,4}\d{6}[A-Z0-9]{3}\b", digits=r"[0-9]{6}"),
+    Pii("phone", ("mexico",), r"\b(?:\+?52[-.\s]?)?\d{2,3}[-.\s]?\d{3,4}[-.\s]?\d{4}\b", first="[0-9+]", digits=r"[0-9]{2,3}x?[0-9]{3,4}x?[0-9]{4}"),
+    Pii("my_number", ("japan",), r"\b\d{4}\s?\d{4}\s?\d{4}\b", digits=r"[0-9]{4}x?[0-9]{4}x?[0-9]{4}"),
+    Pii("phone", ("japan",), r"(?<!\w)(?:\+81|0)\d[-.\s]?\d{4}[-.\s]?\d{4}\b", re2=r"(?:\B\+81|\b0)\d[-.\s]?\d{4}[-.\s]?\d{4}\b", digits=r"[0-9]x?[0-9]{4}x?[0-9]{4}"),
+    Pii("rrn", ("southKorea",), r"\b\d{6}-[1-4]\d{6}\b", digits=r"[0-9]{6}x[0-9]{7}"),
+    Pii("phone", ("southKorea",), r"(?<!\w)(?:\+82|0)\d{2}[-.\s]?\d{3,4}[-.\s]?\d{4}\b", re2=r"(?:\B\+82|\b0)\d{2}[-.\s]?\d{3,4}[-.\s]?\d{4}\b", digits=r"[0-9]{2}x?[0-9]{3,4}x?[0-9]{4}"),
+    Pii("sin", ("canada",), r"\b\d{3}[-.\s]\d{3}[-.\s]\d{3}\b", 9, digits=r"[0-9]{3}x[0-9]{3}x[0-9]{3}"),
+    Pii("phone", ("canada",), _US_PHONE, first="[0-9+(]", digits=r"[0-9]{3}x?[0-9]{3}x?[0-9]{4}"),
+    Pii("tfn", ("australia",), r"\b\d{3}\s?\d{3}\s?\d{2,3}\b", digits=r"[0-9]{3}x?[0-9]{3}x?[0-9]{2}"),
+    Pii("medicare", ("australia",), r"\b\d{4}\s?\d{5}\s?\d{1,2}\b", digits=r"[0-9]{4}x?[0-9]{5}x?[0-9]"),
+    Pii("phone", ("australia",), r"(?<!\w)(?:\+61|0)\s?\d\s?\d{4}\s?\d{4}\b", re2=r"(?:\B\+61|\b0)\s?\d\s?\d{4}\s?\d{4}\b", digits=r"[0-9]x?[0-9]{4}x?[0-9]{4}"),
 )
 
 

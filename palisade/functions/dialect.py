@@ -51,8 +51,8 @@ def _sure_word(pattern: str, at: int, ahead: bool) -> bool:
     return bool(m) and not re.search(r"\\[bsBSD]$", before)
 
 
-def java(pattern: str, ignore_case: bool = False, unicode_case: bool = False) -> str:
-    """For Spark's functions. One-sided looks replace a boundary whose other side is sure."""
+def java(pattern: str, ignore_case: bool = False, unicode_case: bool = False, first: str = "") -> str:
+    """For Spark's functions. ``first``: a class that matches begin with, looked at before all else. One-sided looks replace a boundary whose other side is sure."""
     out, at = [], 0
     for atom, inside in _atoms(pattern):
         at += len(atom)
@@ -73,7 +73,7 @@ def java(pattern: str, ignore_case: bool = False, unicode_case: bool = False) ->
             out.append("\\" + atom)
         else:
             out.append(atom)
-    return ("(?iu)" if unicode_case else "(?i)" if ignore_case else "") + "".join(out)
+    return ("(?iu)" if unicode_case else "(?i)" if ignore_case else "") + (f"(?={first})" if first else "") + "".join(out)
 
 
 def re2(pattern: str, ignore_case: bool = False) -> str:

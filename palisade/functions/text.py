@@ -31,13 +31,16 @@ def empty(kind: str) -> Column:
 def spans(t: Column, regex: str, type_: str, confidence: float = 1.0, order: int = 0, gate: Column | None = None, match: bool = True) -> Column:
     """All matches of a Java pattern, as ``array<SPAN>``, in text order.
 
-    The pieces between the matches give the positions. ``gate`` is a cheap test
-    that texts with a match pass.
+    The pieces between the matches give the positions; texts without a match are
+    gone over once. ``gate`` is a cheap test that texts with a match pass.
     """
 
-    def build(x: Column) -> Column:
+    def build(m: Column) -> Column:
+        return F.when(F.size(m) > 0, let(F.split(t, regex, -1), lambda p: placed(p, m))).otherwise(empty(SPAN))
+
+    def placed(p: Column, all_: Column) -> Column:
         def add(acc: Column, m: Column) -> Column:
-            start = acc["pos"] + F.length(F.get(x["p"], acc["i"]))
+            start = acc["pos"] + F.length(F.get(p, acc["i"]))
             end = start + F.length(m)
             hit = F.struct(
                 start.alias("start"), (-F.length(m)).alias("neg"), F.lit(order).alias("ord"), F.lit(type_).alias("type"), end.alias("end"),
@@ -46,11 +49,10 @@ def spans(t: Column, regex: str, type_: str, confidence: float = 1.0, order: int
             return F.struct(end.alias("pos"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
         zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), empty(SPAN).alias("out"))
-        return F.aggregate(x["m"], zero, add, lambda acc: acc["out"])
+        return F.aggregate(all_, zero, add, lambda acc: acc["out"])
 
-    found = F.struct(F.split(t, regex, -1).alias("p"), F.regexp_extract_all(t, F.lit(regex), 0).alias("m"))
-    test = F.rlike(t, F.lit(regex))
-    return F.when(test if gate is None else gate & test, let(found, build)).otherwise(empty(SPAN))
+    found = let(F.regexp_extract_all(t, F.lit(regex), 0), build)
+    return F.coalesce(found if gate is None else F.when(gate, found), empty(SPAN))
 
 
 def replaced(t: Column, regex: Column, token: Callable[[Column], Column]) -> Column:
@@ -92,6 +94,12 @@ def hash_digits(t: Column) -> Column:
     return F.lpad(F.lower(F.hex(fnv1a32(t) % F.lit(16777216).cast("bigint"))), 6, "0")
 
 
+def digit_skeleton(t: Column) -> Column:
+    """The runs of digits of a text, with an x for each run of anything else:
+    short for prose, so that what a pattern needs of digits is tested on little."""
+    return F.regexp_replace(t, "[^0-9]+", "x")
+
+
 def luhn_ok(match: Column, least: int) -> Column:
     def valid(d: Column) -> Column:
         def worth(c: Column, i: Column) -> Column:

@@ -69,13 +69,18 @@ def _with_checksum(found: Column, least: int) -> Column:
 
 def pii_spans(t: Column, types=None, locales=C.DEFAULT_LOCALES) -> Column:
     """Resolved spans of personal data, in code points."""
-    digits = F.rlike(t, F.lit("[0-9]{3}|[0-9]\\."))
-    parts = []
-    for k, p in pii_patterns(types, locales):
-        gate = t.contains(p.gate) if p.gate else digits
-        s = T.spans(t, D.java(p.pattern), f"pii.{p.type}", 1.0, k, gate)
-        parts.append(_with_checksum(s, p.luhn) if p.luhn else s)
-    return T.resolved(F.concat(*parts)) if parts else T.empty(T.SPAN)
+    chosen = pii_patterns(types, locales)
+
+    def found(skeleton: Column) -> Column:
+        parts = []
+        for k, p in chosen:
+            gate = F.rlike(skeleton, F.lit(p.digits)) if p.digits else F.lit(True)
+            gate = gate & t.contains(p.gate) if p.gate else gate
+            s = T.spans(t, D.java(p.pattern, first=p.first), f"pii.{p.type}", 1.0, k, gate)
+            parts.append(_with_checksum(s, p.luhn) if p.luhn else s)
+        return F.concat(*parts)
+
+    return T.resolved(T.let(T.digit_skeleton(t), found)) if chosen else T.empty(T.SPAN)
 
 
 def scan_pii(t: Column, action: str = "redact", types=None, locales=C.DEFAULT_LOCALES, placeholder: str | Callable[[Column], Column] | None = None) -> Column:
@@ -372,8 +377,11 @@ def scan_language(t: Column, action: str = "block", expected=("latin",), thresho
 
         return T.let(F.struct(total.alias("total"), own.alias("own")), judged)
 
-    # most texts are of the expected script alone: one count decides
-    return T.let(script_counts(t), body)
+    # most texts are of the expected scripts alone: one look decides
+    others = "".join(c for k, c in C.SCRIPTS.items() if k not in expected)
+    if not others or threshold > 1:
+        return T.let(script_counts(t), body)
+    return F.when(F.rlike(t, F.lit(f"[{others}]")), T.let(script_counts(t), body)).otherwise(T.clean(name, t))
 
 
 # code
