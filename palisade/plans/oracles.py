@@ -309,3 +309,4 @@ ORACLES = {
     "python_scanner": f"with src as ({docs('topic')}) select id, case when contains(t, 'drugs') then t else '<' || t || '>' end as text, 'frame' as scanners, case when contains(t, 'drugs') then 'frame' end as blocker from src",
     "hash32": f"select conv_id * 1000 + turn as id, {fnv('text')} as h from conversations",
 }
+ORACLES["stream_stateful"] = ORACLES["stream_segments"]

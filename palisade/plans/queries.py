@@ -4,7 +4,7 @@ added to each text, by the same rule here and in the SQL of ``oracles``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import catalog as C
@@ -13,7 +13,7 @@ from palisade.operators import scanners as S
 from palisade.plans import policy as P
 from palisade.plans import report, roundtrip
 from palisade.plans.oracles import CONFIG, FRAGMENTS, ORACLES, PATTERNS, TOPICS
-from palisade.sources.tables import table
+from palisade.sources.tables import chunk_stream, scratch, table
 from palisade.streaming import segments as G
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -140,6 +140,17 @@ def stream_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", "seg_seq", "text", "blocked", F.size("findings").alias("n_findings"))
 
 
+def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same segments from a stream of chunk files with one state per stream."""
+    root = scratch(spark, "stream")
+    last = F.lead("chunk_seq").over(Window.partitionBy("stream_id").orderBy("chunk_seq")).isNull()
+    _chunks(spark, sf_dir).withColumn("is_last", last).repartition(4).write.parquet(f"{root}/chunks")
+    parts = G.stream_segments(chunk_stream(spark, f"{root}/chunks"), timeout_ms=None)
+    query = parts.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(parts.schema).parquet(f"{root}/out")
+
+
 def custom_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's scanner as a Column function: it puts texts in brackets."""
 
@@ -211,6 +222,7 @@ QUERIES = {
     "metrics_by_scanner": metrics_by_scanner,
     "stream_segments": stream_segments,
     "stream_cutoff": stream_cutoff,
+    "stream_stateful": stream_stateful,
     "custom_scanner": custom_scanner,
     "python_scanner": python_scanner,
     "hash32": hash32,

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors
+    share; on a session without one (one machine), below a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "palisade")
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -85,12 +85,14 @@ class Cutter:
         return out
 
 
-def stream_segments(chunks: DataFrame, boundary: str = "\n", regex: bool = False, one_per_chunk: bool = False, timeout_ms: int = 3_600_000) -> DataFrame:
+def stream_segments(chunks: DataFrame, boundary: str = "\n", regex: bool = False, one_per_chunk: bool = False, timeout_ms: int | None = 3_600_000) -> DataFrame:
     """Segments of a streaming DataFrame (stream_id, chunk_seq, chunk, is_last).
 
     ``one_per_chunk``: each chunk gives one segment at most and what is left comes
     with the last one; else all whole segments are given at once. A stream that
-    is silent for ``timeout_ms`` is flushed and forgotten.
+    is silent for ``timeout_ms`` is flushed and forgotten; with None states stay
+    (a query with a time-out runs batches without data, so one that is to end by
+    itself, as with ``availableNow``, needs None).
     """
     cutter = Cutter(boundary, regex, one_per_chunk)
 
@@ -111,11 +113,12 @@ def stream_segments(chunks: DataFrame, boundary: str = "\n", regex: bool = False
             rows = [(int(n), c, bool(e)) for f in frames for n, c, e in zip(f["chunk_seq"], f["chunk"], f["is_last"])]
             out = cutter.feed(state, rows)
             group.update((json.dumps(state),))
-            group.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                group.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"stream_id": [key[0]] * len(out), "seg_seq": [n for n, _ in out], "text": [t for _, t in out]}).astype({"seg_seq": "int32"})
 
     rows = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("chunk_seq").cast("int").alias("chunk_seq"), "chunk", "is_last")
-    return rows.groupBy("stream_id").applyInPandasWithState(step, SEGMENT, "state string", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("stream_id").applyInPandasWithState(step, SEGMENT, "state string", "append", "NoTimeout" if timeout_ms is None else "ProcessingTimeTimeout")
 
 
 def guarded_stream(parts: DataFrame, scanners: list) -> DataFrame:
