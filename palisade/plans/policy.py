@@ -24,12 +24,14 @@ BOTH = (INPUT, OUTPUT)
 
 
 class Scanner(NamedTuple):
-    """What a stage needs of a scanner; anything with these three will do.
-    ``scan`` maps a text column to a result column (``T.RESULT``)."""
+    """What a stage needs of a scanner; anything with the first three will do.
+    ``scan`` maps a text column to a result column (``T.RESULT``). A scanner that
+    may raise for a row also has ``scan_open``, which then gives nulls."""
 
     name: str
     stages: tuple[str, ...]
     scan: Callable[[Column], Column]
+    scan_open: Callable[[Column], Column] | None = None
 
 
 def pii(**o) -> Scanner:
@@ -84,34 +86,32 @@ def schema(schema: dict, **o) -> Scanner:
     return Scanner("schema", (OUTPUT,), lambda t: S.scan_schema(t, schema, **o))
 
 
-def python_scanner(name: str, scan: Callable[[str], dict | None], stages=BOTH, fail_closed: bool = True) -> Scanner:
+def python_scanner(name: str, scan: Callable[[str], dict | None], stages=BOTH) -> Scanner:
     """A scanner in Python, run in Arrow batches. ``scan(text)`` gives the fields of
     a result (or None for a clean one). If it raises, the row is blocked with the
-    error as its reason, or, if not ``fail_closed``, the scanner is passed over."""
+    error as its reason or, in a policy that fails open, the scanner is passed over."""
+    fields = ["scanner", "passed", "score", "text", "findings", "reason", "redaction"]
 
-    @F.pandas_udf(T.RESULT)
-    def run(texts):
-        import pandas as pd
+    def udf(closed: bool):
+        @F.pandas_udf(T.RESULT)
+        def run(texts):
+            import pandas as pd
 
-        rows = []
-        for t in texts:
-            base = {"scanner": name, "passed": True, "score": 0.0, "text": t, "findings": [], "reason": None, "redaction": []}
-            if t is None:
-                rows.append(base)
-                continue
-            try:
-                rows.append(base | (scan(t) or {}))
-            except Exception as e:  # noqa: BLE001 - what a user's scanner raises is the result
-                rows.append(base | {"passed": False, "score": 1.0, "reason": f"scanner error: {e}"} if fail_closed else dict.fromkeys(base))
-        return pd.DataFrame(rows, columns=["scanner", "passed", "score", "text", "findings", "reason", "redaction"])
+            rows = []
+            for t in texts:
+                base = dict(zip(fields, (name, True, 0.0, t, [], None, [])))
+                try:
+                    rows.append(base if t is None else base | (scan(t) or {}))
+                except Exception as e:  # noqa: BLE001 - what a user's scanner raises is the result
+                    rows.append(base | {"passed": False, "score": 1.0, "reason": f"scanner error: {e}"} if closed else dict.fromkeys(fields))
+            return pd.DataFrame(rows, columns=fields)
 
-    def as_result(t: Column) -> Column:
-        return run(t)
+        return run
 
-    return Scanner(name, tuple(stages), as_result)
+    return Scanner(name, tuple(stages), udf(True), udf(False))
 
 
-def run_stage(df: DataFrame, scanners: list, stage: str, text: str, out: str) -> DataFrame:
+def run_stage(df: DataFrame, scanners: list, stage: str, text: str, out: str, fail_closed: bool = True) -> DataFrame:
     """``df`` with ``out``: struct<text, results, blocker, redaction>.
 
     Scanners that don't have the stage are left out of the plan. ``results`` ends
@@ -123,7 +123,8 @@ def run_stage(df: DataFrame, scanners: list, stage: str, text: str, out: str) ->
     current, blocked = F.col(text), F.lit(False)
     for k, s in enumerate(x for x in scanners if stage in x.stages):
         name = f"__{out}_{k}"
-        df = df.withColumn(name, F.when(~blocked, s.scan(current)))
+        scan = s.scan if fail_closed else getattr(s, "scan_open", None) or s.scan
+        df = df.withColumn(name, F.when(~blocked, scan(current)))
         made.append(name)
         r = F.col(name)
         # a scanner that was passed over gives a row of nulls
@@ -144,10 +145,10 @@ class Policy:
         self.input, self.output, self.fail_closed = list(input), list(output), fail_closed
 
     def scan_input(self, df: DataFrame, text: str, out: str = "scan") -> DataFrame:
-        return run_stage(df, self.input, INPUT, text, out)
+        return run_stage(df, self.input, INPUT, text, out, self.fail_closed)
 
     def scan_output(self, df: DataFrame, text: str, out: str = "scan") -> DataFrame:
-        return run_stage(df, self.output, OUTPUT, text, out)
+        return run_stage(df, self.output, OUTPUT, text, out, self.fail_closed)
 
     @classmethod
     def from_config(cls, config: dict | str) -> Policy:

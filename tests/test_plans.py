@@ -51,8 +51,8 @@ def test_python_scanner_errors(spark, closed):
             raise RuntimeError("boom")
         return {"text": t + "!"}
 
-    chain = [P.python_scanner("py", scan, fail_closed=closed), replace("c", "o", "0")]
-    rows = P.run_stage(texts(spark, "good", "bad one", None), chain, P.INPUT, "t", "s").orderBy("id").collect()
+    chain = [P.python_scanner("py", scan), replace("c", "o", "0")]
+    rows = P.Policy(chain, fail_closed=closed).scan_input(texts(spark, "good", "bad one", None), "t", "s").orderBy("id").collect()
     assert rows[0].s.text == "g00d!"
     if closed:
         assert rows[1].s.blocker.reason == "scanner error: boom" and rows[1].s.blocker.score == 1.0
