@@ -1,14 +1,16 @@
 """Sharding: a uniform shuffle with exact shard sizes.
 
-How many rows each input partition sends to each cell (a block of a shard) is
-drawn beforehand: row by row of the communication matrix, a multivariate
-hypergeometric draw from the room that the cells have left. Each partition then
+How many rows each input partition sends to each cell (a block of a shard) is a
+matrix with given row and column sums, drawn by the multivariate hypergeometric
+law. It is drawn by halves: how many of each cell's rows come from the first half
+of the partitions, then within each half, and so on; each draw has a generator of
+its own, seeded by the range it splits. So a task finds its partition's row by
+itself in log2(partitions) draws, and nobody holds the matrix. Each partition then
 deals a random permutation of its own labels to its rows, the rows go to their
 cells in one exchange, and each cell is permuted again. The law is that of one
 uniform permutation of all rows, and every cell gets its exact size.
 
-Only counts reach the driver: one per partition, and the matrix that is sent
-back has partitions x cells small integers (its size is checked).
+Only one count per input partition reaches the driver and goes back out.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import shared_dir, shuffle_partitions, written
 
-#: The matrix may have so many bytes at most; beyond, cells get larger.
-MATRIX_BYTES = 64 << 20
+#: Blocks of all shards together, at most (each draw has a number for each).
+MAX_CELLS = 65_536
+#: Populations from which numpy's exact draw isn't defined.
+LARGE = 1_000_000_000
 
 
 def sizes_of(total: int, n: int) -> list[int]:
@@ -29,27 +33,60 @@ def sizes_of(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
-def communication_matrix(rows: list[int], cells: list[int], seed: int):
-    """Exact counts: row sums are ``rows``, column sums ``cells``."""
+def draw(rng, cells, n: int):
+    """How many of ``n`` rows, taken without replacement, are of each cell. Above
+    ``LARGE`` rows each count is drawn by the normal law with the same mean and
+    variance, kept within its bounds; sums are exact at every size."""
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    left = np.array(cells, np.int64)
-    out = np.zeros((len(rows), len(cells)), np.int64)
-    for i, n in enumerate(rows):
-        # numpy's "marginals" method takes one univariate draw per cell
-        out[i] = rng.multivariate_hypergeometric(left, n, method="marginals") if n else 0
-        left -= out[i]
+    total = int(cells.sum())
+    if total < LARGE:
+        return rng.multivariate_hypergeometric(cells, n, method="marginals")
+    out = np.zeros(len(cells), np.int64)
+    for i, k in enumerate(cells.tolist()):
+        rest = total - k
+        if n == 0:
+            break
+        if total < LARGE:
+            x = int(rng.hypergeometric(k, rest, n)) if k else 0
+        else:
+            share = k / total
+            x = round(rng.normal(n * share, (n * share * (1 - share) * (total - n) / max(1, total - 1)) ** 0.5))
+        out[i] = x = min(max(x, n - rest, 0), k, n)
+        n, total = n - x, rest
     return out
 
 
+def matrix_row(part: int, before, cells, seed: int):
+    """Row ``part`` of the matrix; ``before``: rows in all partitions before each one, and the total."""
+    import numpy as np
+
+    lo, hi, left = 0, len(before) - 1, np.asarray(cells, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first = draw(np.random.default_rng([seed, lo, hi]), left, int(before[mid] - before[lo]))
+        if part < mid:
+            left, hi = first, mid
+        else:
+            left, lo = left - first, mid
+    return left
+
+
+def communication_matrix(rows: list[int], cells: list[int], seed: int):
+    """The whole matrix (for small numbers): row sums are ``rows``, column sums ``cells``."""
+    import numpy as np
+
+    before = np.concatenate(([0], np.cumsum(rows)))
+    return np.array([matrix_row(i, before, cells, seed) for i in range(len(rows))])
+
+
 @lru_cache(maxsize=2)
-def _labels(key: tuple, part: int, counts: bytes):
+def _labels(seed: int, place: int, part: int, before: bytes, cells: bytes):
     """The cell of each row of partition ``part``, in a random order."""
     import numpy as np
 
-    c = np.frombuffer(counts, np.int64)
-    return np.random.default_rng([key[0], part]).permutation(np.repeat(np.arange(len(c), dtype=np.int32), c))
+    row = matrix_row(place, np.frombuffer(before, np.int64), np.frombuffer(cells, np.int64), seed)
+    return np.random.default_rng([seed, part, 1]).permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
 
 
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 2024, rows_per_cell: int = 50_000, bare_scan: bool = False) -> DataFrame:
@@ -64,6 +101,8 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 2024, rows_per_cell:
     than a plain file scan is therefore written to the shared folder first,
     unless ``bare_scan`` says that it is one.
     """
+    import numpy as np
+
     spark = docs.sparkSession
     if not bare_scan:
         docs = written(docs, shared_dir(spark, "shard-input"))
@@ -75,31 +114,37 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 2024, rows_per_cell:
     shards = sizes_of(total, n_shards)
     # a shard has as many blocks as its rows ask for, and the exchange one task a block
     blocks = max(1, -(-max(shards, default=0) // rows_per_cell), -(-shuffle_partitions(spark) // n_shards))
-    blocks = max(1, min(blocks, MATRIX_BYTES // (8 * n_shards * max(1, len(parts)))))
+    blocks = max(1, min(blocks, MAX_CELLS // n_shards))
     cells = [c for s in shards for c in sizes_of(s, blocks)]
-    matrix = communication_matrix([counted[p] for p in parts], cells, seed)
-    assert matrix.sum() == total
-    sent = spark.sparkContext.broadcast({p: matrix[i].tobytes() for i, p in enumerate(parts)})
-    offsets = [sum(cells[s * blocks : s * blocks + b]) for s in range(n_shards) for b in range(blocks)]
+    before = [0]
+    for p in parts:
+        before.append(before[-1] + counted[p])
+    sent = spark.sparkContext.broadcast((np.array(before, np.int64).tobytes(), np.array(cells, np.int64).tobytes(), np.array(parts, np.int64)))
+    offsets = []  # of a cell's first slot within its shard
+    for k in range(len(cells)):
+        offsets.append(offsets[-1] + cells[k - 1] if k % blocks else 0)
 
     @F.pandas_udf("int")
     def cell_of(at):
-        import numpy as np
         import pandas as pd
 
         x = at.to_numpy()
         out = np.empty(len(x), np.int32)
-        for p in np.unique(x >> 33):
+        prefix, sizes, known = sent.value
+        for p in np.unique(x >> 33).tolist():
             here = (x >> 33) == p
-            out[here] = _labels((seed,), int(p), sent.value[int(p)])[x[here] & ((1 << 33) - 1)]
+            out[here] = _labels(seed, int(np.searchsorted(known, p)), p, prefix, sizes)[x[here] & ((1 << 33) - 1)]
         return pd.Series(out)
 
+    at = "_at"
+    while at in docs.columns:
+        at += "_"
     n_cells = len(cells)
-    dealt = docs.withColumn("_at", own).withColumn("cell", cell_of("_at")).repartition(max(1, min(n_cells, 4 * shuffle_partitions(spark))), "cell")
-    order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed), F.lit("again"), "_at"), "_at")
+    dealt = docs.withColumn(at, own).withColumn("cell", cell_of(at)).repartition(max(1, min(n_cells, 4 * shuffle_partitions(spark))), "cell")
+    order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed), F.lit("again"), at), at)
     base = F.from_json(F.lit(str(offsets)), "array<bigint>")
     return (
         dealt.withColumn("slot", (F.row_number().over(order) - 1 + F.get(base, F.col("cell"))).cast("bigint"))
         .withColumn("shard", (F.col("cell") / F.lit(blocks)).cast("int"))
-        .drop("_at")
+        .drop(at)
     )

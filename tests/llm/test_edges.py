@@ -36,6 +36,13 @@ def test_matrix_is_exact():
     rows, cells = [10, 0, 7, 100], sizes_of(117, 13)
     m = communication_matrix(rows, cells, 5)
     assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == cells
+    import numpy as np
+
+    from palisade.llm.shards import draw
+
+    big = np.array([3_000_000_000, 5, 0, 2_000_000_000])
+    d = draw(np.random.default_rng(1), big, 1_000_000_000)
+    assert d.sum() == 1_000_000_000 and (d <= big).all() and abs(d[0] - 600_000_000) < 200_000
     mean = sum(communication_matrix(rows, cells, s)[0][0] for s in range(400)) / 400
     assert abs(mean - 10 * 9 / 117) < 0.15
 
