@@ -1,19 +1,21 @@
-"""Line dedup: winnowing over line hashes, DataFrame functions only.
-
-A text's lines are the pieces between line feeds. Each line is hashed; from every
-line on, the shortest run with ``MIN_WORDS`` words is a window, and the smallest
-hash in it (of equal ones the last) is selected as a fingerprint. Any two equal
-runs of lines with ``MIN_WORDS`` words or more therefore have a fingerprint in
-common. Each fingerprint's places are joined to the first of them (smallest
-document id, then row, then line), the match is extended both ways as far as the
-lines agree, and if it then has ``MIN_WORDS`` words or more, the later run is
-deleted. What is deleted stands somewhere earlier, so one copy of every line
-always stays.
-
-Work and shuffles grow with the number of lines: a fingerprint with n places
-makes n - 1 pairs. The aggregation that finds the first place is combined in the
-map tasks, and joins on hot keys are sort-merge joins that adaptive execution
-splits.
+"""Line dedup: hashes of all shortest runs of lines, DataFrame functions only.
+
+A text's lines are the pieces between line feeds, and each is hashed. A line is
+deleted if it lies in a run of lines with ``MIN_WORDS`` words or more that stands
+somewhere earlier too (smaller document id, then row, then line). Such a run can
+be shortened from both ends, as long as it holds the line and has the words, to
+the shortest run from its first line on or the shortest one up to its last line.
+So the keys are the hashes of just these runs, two a line and mostly the same;
+for a blank line at an edge, the hash of the run next to it and the distance. Of
+each key's places the first stays and all others are deleted: every place of a
+key is a true copy, and nothing has to be compared or extended. What is deleted
+stands somewhere earlier, so one copy of every line always stays.
+
+Work and shuffles grow with the number of lines: a run has at most ``MIN_WORDS``
+lines that aren't blank, and a key with n places is joined to its first one n - 1
+times. The aggregation that finds the first place is combined in the map tasks,
+and joins on hot keys are sort-merge joins that adaptive execution splits. Runs
+are told apart by 64 bits of hashes of lines, lines by 60.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 from palisade.llm.common import shared_dir, written
 
 MIN_WORDS = 50
-#: Lines to either side that are compared first; a match that goes on is then compared whole.
-NEAR = 64
 _BLANK = " \\t\\u000b\\u000c\\r"
 
 #: Of line l: 60 bits of its hash, 0 for a blank line; and its words.
@@ -37,44 +37,44 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("r", "id", f"transform(split(t, '\\n'), l -> struct({_HASH} as h, {_WORDS} as n)) as a")
 
 
-def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """h, id, r, p: the places (line p of row r) of the selected hashes."""
-    each = lines.selectExpr("r", "id", "posexplode_outer(a) as (p, x)").selectExpr("r", "id", "p", "x.h as h", "x.n as n").where("n > 0")
+def windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """k, id, r, a, b: the keys of row r, each with the lines a to b it stands for."""
+    each = lines.selectExpr("r", "id", "size(a) as size", "posexplode(a) as (p, x)").selectExpr("r", "id", "size", "p", "x.h as h", "x.n as n").where("n > 0")
     by = Window.partitionBy("r").orderBy("p")
-    each = each.withColumn("c", F.sum("n").over(by) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("r")))
-    window = Window.partitionBy("r").orderBy("c").rangeBetween(Window.currentRow, min_words - 1)
-    picked = each.withColumn("m", F.min(F.struct(F.col("h"), (-F.col("p")).alias("p"))).over(window)).where(F.col("total") - F.col("c") >= min_words)
-    return picked.select("r", "id", F.col("m.h").alias("h"), (-F.col("m.p")).alias("p")).distinct()
-
-
-def _match(min_words: int) -> str:
-    """Of an anchor x (line x.p of t, line x.q of s): its longest run, or null if
-    that has too few words."""
-
-    def left(least: str) -> str:
-        return f"array_max(filter(sequence(greatest(x.p - x.q, 0, {least}), x.p), i -> t[i].h <> s[i - x.p + x.q].h))"
-
-    def right(most: str) -> str:
-        return f"array_min(filter(sequence(x.p, least(size(t) - 1, size(s) - 1 + x.p - x.q, {most})), i -> t[i].h <> s[i - x.p + x.q].h))"
-
-    a = f"coalesce({left(f'x.p - {NEAR}')} + 1, {left('0')} + 1, greatest(x.p - x.q, 0))"
-    b = f"coalesce({right(f'x.p + {NEAR}')} - 1, {right('2147483647')} - 1, least(size(t) - 1, size(s) - 1 + x.p - x.q))"
-    runs = f"transform(anchors, x -> struct({a} as a, {b} as b))"
-    return f"filter({runs}, y -> aggregate(slice(t, y.a + 1, y.b - y.a + 1), 0, (n, v) -> n + v.n) >= {min_words})"
+    each = each.select(
+        "r", "id", "p", "h", "n",
+        (F.col("p") - F.coalesce(F.lag("p").over(by), F.lit(-1)) - 1).alias("before"),
+        (F.coalesce(F.lead("p").over(by), F.col("size")) - F.col("p") - 1).alias("after"),
+        F.sum("n").over(by).alias("e"),
+        F.sum("n").over(Window.partitionBy("r")).alias("total"),
+    ).withColumn("c", F.col("e") - F.col("n"))
+    line = F.struct("p", "h", "n")
+    ahead = F.collect_list(line).over(Window.partitionBy("r").orderBy("c").rangeBetween(Window.currentRow, min_words - 1))
+    behind = F.collect_list(line).over(Window.partitionBy("r").orderBy("e").rangeBetween(1 - min_words, Window.currentRow))
+    each = each.where(f"total >= {min_words}").withColumn("f", ahead).withColumn("g", behind)
+    key = "xxhash64(transform({0}, x -> struct(x.p - {0}[0].p as p, x.h as h)))"
+    each = each.withColumn("kf", F.expr(f"if(total - c >= {min_words}, {key.format('f')}, null)")).withColumn("kg", F.expr(f"if(e >= {min_words}, {key.format('g')}, null)"))
+    # a shortest run up to a line is mostly the shortest one from its first line as well, and then has its key already
+    new = f"aggregate(g, 0, (s, x) -> s + x.n) - n >= {min_words}"
+    found = f"""concat(
+        if(kf is null, array(), array(struct(kf as k, p as a, f[size(f) - 1].p as b))),
+        if(kg is null or not {new}, array(), array(struct(kg as k, g[0].p as a, p as b))),
+        if(kf is null or before = 0, array(), transform(sequence(1, before), i -> struct(xxhash64(kf, -i) as k, p - i as a, p - i as b))),
+        if(kg is null or after = 0, array(), transform(sequence(1, after), i -> struct(xxhash64(kg, i) as k, p + i as a, p + i as b))))"""
+    return each.selectExpr("r", "id", f"inline({found})").select("k", "id", "r", "a", "b")
 
 
 def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """r, runs (array of first and last line to delete) of the rows that have any."""
-    lines = written(_lines(rows), shared_dir(rows.sparkSession, "line-hashes"))
-    places = fingerprints(lines, min_words)
-    first = places.groupBy("h").agg(F.min(F.struct("id", "r", "p")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "f.r", "f.p")
-    pairs = places.join(first.withColumnsRenamed({"r": "r0", "p": "q"}), "h").where("r <> r0 or p <> q").select("r", "r0", F.struct("p", "q").alias("x"))
-    grouped = pairs.groupBy("r", "r0").agg(F.sort_array(F.collect_set("x")).alias("anchors"))
-    arrays = lines.select("r", "a")
-    both = grouped.join(arrays.withColumnRenamed("a", "t"), "r").join(arrays.select(F.col("r").alias("r0"), F.col("a").alias("s")), "r0")
-    # an empty list of runs is harmless; a filter here would be pushed down and match twice
-    runs = both.select("r", F.expr(_match(min_words)).alias("runs"))
-    return runs.groupBy("r").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    places = written(windows(_lines(rows), min_words), shared_dir(rows.sparkSession, "line-windows"))
+    first = places.groupBy("k").agg(F.min(F.struct("id", "r", "a")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.col("f.r").alias("r0"), F.col("f.a").alias("a0"))
+    later = places.select("k", "r", "a", "b").join(first, "k").where("r <> r0 or a <> a0").select("r", "a", "b")
+    # runs that overlap or touch become one
+    by = Window.partitionBy("r").orderBy("a")
+    last = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    begins = later.withColumn("new", F.when(F.col("a") <= last + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = begins.groupBy("r", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return runs.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", bare_scan: bool = False) -> DataFrame:

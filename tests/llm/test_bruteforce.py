@@ -145,6 +145,34 @@ def test_line_dedup(spark, tmp_path):
     assert {i: (got[i][:2], want[i][:2]) for i in got if got[i] != want[i]} == {}
 
 
+def test_line_dedup_finds_every_earlier_run(spark, tmp_path):
+    """All runs of 50 words that stand somewhere earlier go, whatever else their lines stand in."""
+    from palisade.llm.line_dedup import dedup_lines
+
+    rnd = random.Random(11)
+    pool = [" ".join(f"{rnd.choice('abcdefgh')}{k}" for _ in range(rnd.choice([1, 2, 9, 18, 28, 44]))) for k in range(24)] + ["", "  ", "\t"]
+    cuts = [[rnd.choice(pool) for _ in range(12)] for _ in range(8)]
+    rows = []
+    for i in range(240):
+        parts = [rnd.choice(pool) for _ in range(rnd.randint(0, 5))]
+        for cut in rnd.sample(cuts, rnd.randint(0, 2)):
+            a = rnd.randrange(9)
+            parts += cut[a : a + rnd.randint(1, 9)] + [f"own {i}"] * rnd.randint(0, 1)
+        rows.append((i, "\n".join(parts)))
+    first, gone = {}, collections.defaultdict(set)
+    for i, t in rows:
+        a = [(x.strip(), len(x.split())) for x in t.split("\n")]
+        for p in range(len(a)):
+            for q in range(p, len(a)):
+                if sum(n for _, n in a[p : q + 1]) >= M and first.setdefault(tuple(x for x, _ in a[p : q + 1]), (i, p)) != (i, p):
+                    gone[i] |= set(range(p, q + 1))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(path)
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in dedup_lines(spark.read.parquet(path), bare_scan=True).select("row.doc_id", "n_removed", "kept_text").collect()}
+    want = {i: (len(gone[i]), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in rows}
+    assert any(gone.values()) and {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     grams = list(zip(w, w[1:], w[2:]))
