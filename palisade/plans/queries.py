@@ -100,7 +100,7 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.select(
         "id",
         F.concat("prompt", F.lit(" "), F.get(frags, (F.col("id") % len(FRAGMENTS["mail"])).cast("int"))).alias("prompt"),
-        F.concat(F.lit("Wrote to [EMAIL_1]. "), F.substring("response", 1, 60)).alias("response"),
+        F.concat(F.lit("Wrote to [EMAIL_1]. "), F.col("response")).alias("response"),
     )
     rules = P.Policy([P.pii(types=["email"], locales=["us"]), P.banned_topic(["drugs"])], [P.banned_topic(TOPICS)])
     return roundtrip.round_trip(df, rules, "prompt", "response")

@@ -197,3 +197,19 @@ def test_sources(spark, tmp_path):
     df = trips(spark, P.Policy(), ("a", "b"))
     write_audit(report.audit(df, "prompt"), str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).where("day is not null").count() == 1
+
+
+def test_queries_scan_whole_responses(spark, tmp_path):
+    """A topic far behind the beginning of a long response is blocked and counted."""
+    from palisade.plans.queries import audit_log, metrics_by_scanner
+    from palisade.plans.queries import round_trip as outcomes
+
+    long = "plain words and more of them " * 40
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", long + "about drugs"), (4, 0, "user", "hello"), (4, 1, "assistant", long + "the end")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    a, b = outcomes(spark, str(tmp_path)).orderBy("id").collect()
+    assert (a.blocked, a.blocked_stage, a.output, a.raw_output) == (True, "output", None, None)
+    assert not b.blocked and b.raw_output == f"Wrote to [EMAIL_1]. {long}the end" and b.output.endswith(f"{long}the end")
+    n, m = (r.total_findings for r in audit_log(spark, str(tmp_path)).orderBy("id").collect())
+    found = {(r.stage, r.scanner): r for r in metrics_by_scanner(spark, str(tmp_path)).collect()}["output", "banned_topic"]
+    assert n > 0 and (found.runs, found.blocked, found.findings) == (2, 1, 1)
