@@ -10,8 +10,10 @@ parts come from merges of lower rank (checked on loading), so a merge never
 makes a pair of a lower rank than its own, and applying a rank to all words at
 once gives what merging word by word gives.
 
-Words are kept from batch to batch; the store is emptied when it is full, which
-costs time only.
+Words and chunks of up to ``MAX_LENGTH`` characters are kept from batch to batch,
+up to ``MAX_BYTES`` each; a full store is emptied, which costs time only. Longer
+ones are worked on and forgotten. At most ``MAX_SYMBOLS`` symbols (or one word) are
+laid out at once.
 """
 
 from __future__ import annotations
@@ -26,7 +28,11 @@ from pyspark.sql import DataFrame
 
 #: White space for this pattern language; Python's ``split`` also takes U+001C to U+001F.
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
-MAX_WORDS = 500_000
+#: Characters of words and chunks that are kept, and bytes that each store may take.
+MAX_LENGTH = 64
+MAX_BYTES = 160 << 20
+#: Symbols of words that are encoded at once.
+MAX_SYMBOLS = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -106,11 +112,22 @@ class Bpe:
             a, b = m.split(" ") if isinstance(m, str) else m
             if max(made.get(vocab[a], -1), made.get(vocab[b], -1)) >= rank:
                 raise ValueError("a merge whose parts have a higher rank")
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, array.array] = {}
         self._chunks: dict[str, tuple[bytes, str]] = {}
+        self._words_size = self._chunks_size = 0
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, all words at once."""
+        """The ids of each word, all words of a run of ``MAX_SYMBOLS`` at once."""
+        out, held, size = [], [], 0
+        for w in words:
+            if held and size + 4 * len(w) > MAX_SYMBOLS:
+                out += self._encode_run(held)
+                held, size = [], 0
+            held.append(w)
+            size += len(w) if w.isascii() else 4 * len(w)
+        return out + self._encode_run(held) if held else out
+
+    def _encode_run(self, words: list[str]) -> list[list[int]]:
         merges, shift = self.merges, self.shift
         sym: list[int] = []
         ends: list[int] = []
@@ -123,9 +140,12 @@ class Bpe:
             ends.append(len(sym))
             sym.append(-1)  # between words; no pair with it has a merge
         n = len(sym)
-        nxt = list(range(1, n + 1))
-        prv = list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
+        # a word beyond the bound: 4 bytes a number instead of some 36
+        kind = (lambda x: list(x)) if n <= 2 * MAX_SYMBOLS else (lambda x: array.array("i", x))
+        sym = kind(sym)
+        nxt = kind(range(1, n + 1))
+        prv = kind(range(-1, n - 1))
+        index: dict = {}
         for i in range(n - 1):
             a, b = sym[i], sym[i + 1]
             if a >= 0 and b >= 0:
@@ -134,13 +154,12 @@ class Bpe:
                     if pair in index:
                         index[pair].append(i)
                     else:
-                        index[pair] = [i]
+                        index[pair] = kind((i,))
         active = [(merges[p][0], p) for p in index]
         heapq.heapify(active)
         while active:
             _, pair = heapq.heappop(active)
-            where = index.pop(pair)
-            where.sort()
+            where = sorted(index.pop(pair))
             a, b = divmod(pair, shift)
             c = merges[pair][1]
             for i in where:
@@ -160,7 +179,7 @@ class Bpe:
                             if p in index:
                                 index[p].append(i)
                             else:
-                                index[p] = [i]
+                                index[p] = kind((i,))
                                 heapq.heappush(active, (m[0], p))
                 h = prv[i]
                 if h >= 0 and sym[h] >= 0:
@@ -170,7 +189,7 @@ class Bpe:
                         if p in index:
                             index[p].append(h)
                         else:
-                            index[p] = [h]
+                            index[p] = kind((h,))
                             heapq.heappush(active, (m[0], p))
         out, i = [], 0
         for e in ends:
@@ -178,20 +197,34 @@ class Bpe:
             i = e + 1
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids and decoded text of chunks (texts without white space, normalised)."""
-        if len(self._chunks) + len(chunks) > MAX_WORDS:
-            self._chunks.clear()
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids and decoded text of chunks (texts without white space, normalised):
+        those of short chunks are kept, all are given back."""
         parts = [self.pattern.findall(c) for c in chunks]
         words = self._words
-        new = [w for w in {w for p in parts for w in p} if w not in words]
-        if len(words) + len(new) > MAX_WORDS:
+        need = {w for p in parts for w in p}
+        if self._words_size > MAX_BYTES:
             words.clear()
-            new = list({w for p in parts for w in p})
-        words.update(zip(new, self.encode_words(new)))
+            self._words_size = 0
+        new = [w for w in need if w not in words]
+        once = dict(zip(new, self.encode_words(new)))
+        for w in new:
+            if len(w) <= MAX_LENGTH:
+                words[w] = array.array("I", once[w])
+                self._words_size += 250 + len(w) + 4 * len(once[w])
+        if self._chunks_size > MAX_BYTES:
+            self._chunks.clear()
+            self._chunks_size = 0
+        out = {}
         for c, p in zip(chunks, parts):
-            ids = [x for w in p for x in words[w]]
-            self._chunks[c] = (array.array("I", ids).tobytes(), self.decode(ids))
+            ids = array.array("I")
+            for w in p:
+                ids.extend(words[w] if len(w) <= MAX_LENGTH else once[w])
+            out[c] = value = (ids.tobytes(), self.decode(ids))
+            if len(c) <= MAX_LENGTH:
+                self._chunks[c] = value
+                self._chunks_size += 350 + len(c) + len(value[0]) + 2 * len(value[1])
+        return out
 
     def decode(self, ids) -> str:
         """As the library without a decoder: the tokens, a space between them."""
@@ -224,16 +257,12 @@ class Bpe:
             split.append(parts + self._split(t[at:]))
         out = []
         known = self._chunks
-        need = {c for s in split for c in s if c not in known and not isinstance(c, int)}
-        if len(known) + len(need) > MAX_WORDS:
-            known.clear()
-            need = {c for s in split for c in s if not isinstance(c, int)}
-        self._learn(list(need))
-        for s in split:
-            if any(isinstance(c, int) for c in s):
-                found = [(c.to_bytes(4, "little"), self.tokens[c]) if isinstance(c, int) else known[c] for c in s]
-            else:
-                found = [known[c] for c in s]
+        get = known.get
+        values = [list(map(get, s)) for s in split]
+        new = self._learn(list({c for s, v in zip(split, values) if None in v for c, x in zip(s, v) if x is None and not isinstance(c, int)}))
+        for s, found in zip(split, values):
+            if None in found:
+                found = [x if x is not None else (c.to_bytes(4, "little"), self.tokens[c]) if isinstance(c, int) else new[c] for c, x in zip(s, found)]
             out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])))
         return out
 

@@ -3,8 +3,11 @@
 A byte-level BPE tokenizer first splits a text with a fixed pattern in which
 white space only ever begins a piece. So a cut between a character that isn't
 white space and a space never goes through a token, and the ids of a text are
-those of its cells in order. Equal cells are encoded once for each Python
-worker; when the store of cells is full, half of it goes, which costs time only.
+those of its cells in order. Texts are cut at every such place; what has white
+space of another kind (two spaces, a line feed before a space, white space at an
+end of the text) stays together as one cell. Equal cells are encoded once for
+each Python worker; when the store of cells is full, half of it goes, which costs
+time only. Library calls are made of about equal numbers of UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -17,12 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Bytes of new cells that one library call encodes.
+#: UTF-8 bytes that one library call encodes: of texts that are not cut, and of new cells.
 CALL_BYTES = 1 << 20
-#: New cells (of at most ``MAX_LENGTH`` characters) that one call encodes.
-CALL_CELLS = 50_000
-#: Characters of texts whose new cells are gathered before a call.
-RUN_CHARS = 4 << 20
+CELL_BYTES = 1 << 18
+#: UTF-8 bytes of texts whose new cells are gathered before a call.
+RUN_BYTES = 4 << 20
 #: Cells that a worker remembers (about 200 bytes each), and their longest.
 MAX_CELLS = 1_400_000
 MAX_LENGTH = 64
@@ -88,29 +90,44 @@ def library(path: str) -> Library:
     return Library(path)
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def by_bytes(texts: list[str], most: int = CALL_BYTES):
-    """Lists of texts of about ``most`` characters each; a longer text is alone."""
+    """Lists of texts of about ``most`` UTF-8 bytes each; a longer text is alone."""
     held, size = [], 0
     for t in texts:
-        if held and size + len(t) > most:
+        n = n_bytes(t)
+        if held and size + n > most:
             yield held
             held, size = [], 0
         held.append(t)
-        size += len(t)
+        size += n
     if held:
         yield held
 
 
-def cells(text: str) -> list[str] | None:
-    """The parts between the spaces of ``text``, or None where a space follows
-    white space or begins or ends the text, so that a cut may not be safe, or
-    where the first part is long."""
-    if not text or text[0].isspace() or text[-1].isspace():
-        return None
-    if any([x in text for x in _ODD_ASCII]) if text.isascii() else _ODD.search(text):
-        return None
+def cells(text: str) -> tuple[list[str], set[int]]:
+    """The parts between the spaces of ``text`` that follow a character that isn't
+    white space, and which of the parts (but the first) hold other white space
+    at which the tokenizer may look ahead."""
     parts = text.split(" ")
-    return parts if len(parts[0]) <= MAX_LENGTH else None
+    if not (text[:1].isspace() or text[-1:].isspace() or (any([x in text for x in _ODD_ASCII]) if text.isascii() else _ODD.search(text))):
+        return parts, set()
+    out, odd, closed = [], set(), False
+    held: list[str] = []
+    for p in parts:
+        if closed:
+            out.append(" ".join(held))
+            held = []
+        held.append(p)
+        closed = bool(p) and not p[-1].isspace()
+        if len(held) > 1 or not closed or p[0].isspace():
+            odd.add(len(out))
+    out.append(" ".join(held))
+    odd.discard(0)
+    return out, odd
 
 
 def _gaps(values: list) -> list[int]:
@@ -148,14 +165,14 @@ class Encoder:
         return out
 
     def _joined(self, parts: list[str]) -> list:
-        """Values of cells that follow a space."""
+        """Values of cells that follow a space and have no odd white space."""
         out = []
-        for at in range(0, len(parts), CALL_CELLS):
-            batch = parts[at : at + CALL_CELLS]
+        for batch in by_bytes(parts, CELL_BYTES):
             ids = np.array(self.lib.ids([" " + " ".join(batch)])[0], np.uint32)
             start = np.flatnonzero(self.lib.opens()[ids])
             if len(start) != len(batch):  # can't be, by what is said above
-                return self._alone([" " + p for p in parts])
+                out += self._alone([" " + p for p in batch])
+                continue
             end = np.append(start[1:], len(ids))
             if self.count:
                 out += (end - start).tolist()
@@ -177,35 +194,41 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list:
         """The values of ``texts``, in order."""
-        return [v for run in by_bytes(texts, RUN_CHARS) for v in self._run(run)]
+        return [v for run in by_bytes(texts, RUN_BYTES) for v in self._run(run)]
 
     def _run(self, texts: list[str]) -> list:
-        split = [cells(t) if self.lib.safe else None for t in texts]
-        odd = [i for i, s in enumerate(split) if s is None]
+        if not self.lib.safe:
+            return self._alone(texts)
+        split = [cells(t) for t in texts]
+        heads = {s[0] for s, _ in split}
+        self._learn(self._first, {h for h in heads if len(h) <= MAX_LENGTH}, self._alone)
+        long = [h for h in heads if len(h) > MAX_LENGTH]
+        first = dict(zip(long, self._alone(long)))
+        get, known, parts, alone, waiting = self._next.get, self._first, set(), set(), []
         out = [None] * len(texts)
-        for i, value in zip(odd, self._alone([texts[i] for i in odd])):
-            out[i] = value
-        self._learn(self._first, {s[0] for s in split if s}, self._alone)
-        get, first, parts, waiting = self._next.get, self._first, set(), []
-        for i, s in enumerate(split):
-            if s is not None:
-                values = list(map(get, s))
-                values[0] = first[s[0]]
-                if None in values:
-                    gaps = _gaps(values)
-                    parts.update([s[k] for k in gaps])
-                    waiting.append((i, values, gaps))
-                else:
-                    out[i] = self._whole(values)
+        for i, (s, odd) in enumerate(split):
+            values = list(map(get, s))
+            values[0] = known[s[0]] if len(s[0]) <= MAX_LENGTH else first[s[0]]
+            if odd:
+                alone.update([s[k] for k in odd])
+                for k in odd:
+                    values[k] = None
+            if None in values:
+                gaps = _gaps(values)
+                parts.update([s[k] for k in gaps if k not in odd] if odd else [s[k] for k in gaps])
+                waiting.append((i, values, gaps, odd))
+            else:
+                out[i] = self._whole(values)
         long = [p for p in parts if len(p) > MAX_LENGTH]
-        once = dict(zip(long, self._alone([" " + p for p in long])))
         parts.difference_update(long)
+        long += alone
+        once = dict(zip(long, self._alone([" " + p for p in long])))
         self._learn(self._next, parts, self._joined)
         store = self._next
-        for i, values, gaps in waiting:
-            s = split[i]
+        for i, values, gaps, odd in waiting:
+            s = split[i][0]
             for k in gaps:
-                values[k] = store[s[k]] if len(s[k]) <= MAX_LENGTH else once[s[k]]
+                values[k] = once[s[k]] if k in odd or len(s[k]) > MAX_LENGTH else store[s[k]]
             out[i] = self._whole(values)
         return out
 

@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    made and set for the rest of the session.
+    Where the session names none and runs on one machine (tests), a temporary
+    folder is made and set for the rest of the session; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not root:
         root = sc.getCheckpointDir()
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = root.rsplit("/", 1)[0] if root else "file://" + tempfile.mkdtemp(prefix="palisade-")
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(root)
@@ -46,6 +48,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,6 +84,15 @@ class Store:
     def rename(self, old: str, new: str) -> None:
         self.fs.move(f"{self.base}/{old}", f"{self.base}/{new}")
 
+    def put(self, temp: str, name: str) -> None:
+        """Give a whole file its name; another attempt may have written the same file before."""
+        try:
+            self.rename(temp, name)
+        except OSError:
+            if name not in self.names():
+                raise
+            self.delete(temp)
+
     def delete(self, name: str) -> None:
         self.fs.delete_file(f"{self.base}/{name}")
 

@@ -68,7 +68,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.warc import warc_round_trip
 
-    out = warc_round_trip(table(spark, sf_dir, "pages"))
+    out = warc_round_trip(table(spark, sf_dir, "pages"), bare_scan=True)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

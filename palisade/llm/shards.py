@@ -10,7 +10,13 @@ deals a random permutation of its own labels to its rows, the rows go to their
 cells in one exchange, and each cell is permuted again. The law is that of one
 uniform permutation of all rows, and every cell gets its exact size.
 
-Only one count per input partition reaches the driver and goes back out.
+Draws follow the hypergeometric law at every size. numpy's own draw ends at 10^9
+rows of a kind; above, a binomial draw is accepted with the ratio of the two laws
+(Loader's form of the binomial probability, precise for large numbers).
+
+A cell has about ``rows_per_cell`` rows at every size, so the number of cells grows
+with the rows; a task holds 8 bytes for each. Only one count per input partition
+reaches the driver and goes back out.
 """
 
 from __future__ import annotations
@@ -22,9 +28,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import shared_dir, shuffle_partitions, written
 
-#: Blocks of all shards together, at most (each draw has a number for each).
-MAX_CELLS = 65_536
-#: Populations from which numpy's exact draw isn't defined.
+#: Rows of a kind from which numpy's exact draw isn't defined.
 LARGE = 1_000_000_000
 
 
@@ -33,30 +37,98 @@ def sizes_of(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
-def draw(rng, cells, n: int):
-    """How many of ``n`` rows, taken without replacement, are of each cell. Above
-    ``LARGE`` rows each count is drawn by the normal law with the same mean and
-    variance, kept within its bounds; sums are exact at every size."""
+def _error_of_stirling(n):
+    """ln n! - ln(sqrt(2 pi n) (n / e)^n), for an array."""
+    import math
+
     import numpy as np
 
-    total = int(cells.sum())
-    if total < LARGE:
-        return rng.multivariate_hypergeometric(cells, n, method="marginals")
-    out = np.zeros(len(cells), np.int64)
-    for i, k in enumerate(cells.tolist()):
-        rest = total - k
-        if n == 0:
-            break
-        if total < LARGE:
-            x = int(rng.hypergeometric(k, rest, n)) if k else 0
-        else:
-            share = k / total
-            x = round(rng.normal(n * share, (n * share * (1 - share) * (total - n) / max(1, total - 1)) ** 0.5))
-        out[i] = x = min(max(x, n - rest, 0), k, n)
-        n, total = n - x, rest
+    small = np.array([0.0] + [math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi) for k in range(1, 16)])
+    x = np.maximum(n, 16).astype(np.float64)
+    y = x * x
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / y) / y) / y) / x
+    return np.where(n < 16, small[np.minimum(n, 15)], series)
+
+
+def _deviance(x, mean):
+    """x ln(x / mean) + mean - x, without loss where x is close to the mean."""
+    import numpy as np
+
+    x = x.astype(np.float64)
+    v = (x - mean) / (x + mean)
+    term, total, k = 2 * x * v, (x - mean) * v, 1
+    near = np.abs(v) < 0.1
+    while k < 40:
+        term = term * v * v
+        total = total + term / (2 * k + 1)
+        k += 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(x > 0, x * np.log(x / mean), 0.0) + mean - x
+    return np.where(near, total, far)
+
+
+def _log_binomial(x, n, p):
+    """ln of the binomial probability of x of n, for arrays (0 < p < 1)."""
+    import numpy as np
+
+    y = n - x
+    inner = (x > 0) & (y > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        whole = _error_of_stirling(n) - _error_of_stirling(x) - _error_of_stirling(y) - _deviance(x, n * p) - _deviance(y, n * (1 - p)) - 0.5 * np.log(2 * np.pi * x * (y / n))
+    return np.where(inner, whole, np.where(x == 0, n * np.log1p(-p), n * np.log(p)))
+
+
+def hypergeometric(rng, good, bad, n):
+    """How many of ``n`` rows, drawn without replacement from ``good`` and ``bad``
+    ones, are good; for arrays of any size up to 2^62."""
+    import numpy as np
+
+    good, bad, n = (np.asarray(x, np.int64) for x in (good, bad, n))
+    large = (good >= LARGE) | (bad >= LARGE)
+    if not large.any():
+        return rng.hypergeometric(good, bad, n)
+    out = np.zeros(len(good), np.int64)
+    out[~large] = rng.hypergeometric(good[~large], bad[~large], n[~large])
+    total = good + bad
+    fixed = large & ((n == 0) | (n == total) | (good == 0) | (bad == 0))
+    out[fixed] = np.where(bad[fixed] == 0, n[fixed], np.where(n[fixed] == 0, 0, good[fixed]))
+    todo = np.flatnonzero(large & ~fixed)
+    # the smaller kind is drawn by the binomial law, the other accepts or rejects
+    while len(todo):
+        g, b, k = good[todo], bad[todo], n[todo]
+        swap = g > b
+        a, c = np.where(swap, b, g), np.where(swap, g, b)
+        p = k / total[todo]
+        x = rng.binomial(a, p)
+        rest = k - x
+        mode = np.minimum(c, np.floor((c + 1) * p).astype(np.int64))
+        inside = (rest >= 0) & (rest <= c)
+        ratio = np.full(len(todo), -np.inf)
+        ratio[inside] = (_log_binomial(rest, c, p) - _log_binomial(mode, c, p))[inside]
+        ok = np.log(rng.random(len(todo))) <= ratio
+        out[todo[ok]] = np.where(swap, k - x, x)[ok]
+        todo = todo[~ok]
     return out
 
 
+def draw(rng, cells, n: int):
+    """How many of ``n`` rows, taken without replacement, are of each cell: the
+    cells are halved, then the halves, and all splits of a level drawn at once."""
+    import numpy as np
+
+    cells = np.asarray(cells, np.int64)
+    if not len(cells):
+        return cells
+    levels = [np.append(cells, np.zeros((1 << max(0, len(cells) - 1).bit_length()) - len(cells), np.int64))]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1][0::2] + levels[-1][1::2])
+    taken = np.array([n], np.int64)
+    for sums in reversed(levels[:-1]):
+        left = hypergeometric(rng, sums[0::2], sums[1::2], taken)
+        taken = np.stack((left, taken - left), axis=1).reshape(-1)
+    return taken[: len(cells)]
+
+
 def matrix_row(part: int, before, cells, seed: int):
     """Row ``part`` of the matrix; ``before``: rows in all partitions before each one, and the total."""
     import numpy as np
@@ -81,11 +153,13 @@ def communication_matrix(rows: list[int], cells: list[int], seed: int):
 
 
 @lru_cache(maxsize=2)
-def _labels(seed: int, place: int, part: int, before: bytes, cells: bytes):
+def _labels(seed: int, place: int, part: int, before: bytes, n_shards: int, blocks: int):
     """The cell of each row of partition ``part``, in a random order."""
     import numpy as np
 
-    row = matrix_row(place, np.frombuffer(before, np.int64), np.frombuffer(cells, np.int64), seed)
+    prefix = np.frombuffer(before, np.int64)
+    cells = np.array([c for s in sizes_of(int(prefix[-1]), n_shards) for c in sizes_of(s, blocks)], np.int64)
+    row = matrix_row(place, prefix, cells, seed)
     return np.random.default_rng([seed, part, 1]).permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
 
 
@@ -93,9 +167,9 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 2024, rows_per_cell:
     """All rows and columns of ``docs``, with ``shard`` (0 to ``n_shards`` - 1),
     ``slot`` (0, 1, ... within the shard, without gaps) and ``cell``.
 
-    Counts of shards differ by one at most. Nulls, equal rows and long texts
-    are rows like others; an empty table gives an empty result. Columns named
-    ``shard``, ``slot`` or ``cell`` are replaced.
+    Counts of shards differ by one at most. Nulls, equal rows and very long
+    texts are rows like others (a row travels once, whole); an empty table gives
+    an empty result. Columns named ``shard``, ``slot`` or ``cell`` are replaced.
 
     Input partitions must be the same when they are read again. A plan other
     than a plain file scan is therefore written to the shared folder first,
@@ -111,18 +185,12 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 2024, rows_per_cell:
     counted = {r[0]: r[1] for r in docs.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}
     total = sum(counted.values())
     parts = sorted(counted)
-    shards = sizes_of(total, n_shards)
-    # a shard has as many blocks as its rows ask for, and the exchange one task a block
-    blocks = max(1, -(-max(shards, default=0) // rows_per_cell), -(-shuffle_partitions(spark) // n_shards))
-    blocks = max(1, min(blocks, MAX_CELLS // n_shards))
-    cells = [c for s in shards for c in sizes_of(s, blocks)]
+    # a shard has as many blocks as its rows ask for, and all shards a block for each task of the exchange
+    blocks = max(1, -(-total // (n_shards * rows_per_cell)), -(-shuffle_partitions(spark) // n_shards))
     before = [0]
     for p in parts:
         before.append(before[-1] + counted[p])
-    sent = spark.sparkContext.broadcast((np.array(before, np.int64).tobytes(), np.array(cells, np.int64).tobytes(), np.array(parts, np.int64)))
-    offsets = []  # of a cell's first slot within its shard
-    for k in range(len(cells)):
-        offsets.append(offsets[-1] + cells[k - 1] if k % blocks else 0)
+    sent = spark.sparkContext.broadcast((np.array(before, np.int64).tobytes(), np.array(parts, np.int64)))
 
     @F.pandas_udf("int")
     def cell_of(at):
@@ -130,21 +198,20 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 2024, rows_per_cell:
 
         x = at.to_numpy()
         out = np.empty(len(x), np.int32)
-        prefix, sizes, known = sent.value
+        prefix, known = sent.value
         for p in np.unique(x >> 33).tolist():
             here = (x >> 33) == p
-            out[here] = _labels(seed, int(np.searchsorted(known, p)), p, prefix, sizes)[x[here] & ((1 << 33) - 1)]
+            out[here] = _labels(seed, int(np.searchsorted(known, p)), p, prefix, n_shards, blocks)[x[here] & ((1 << 33) - 1)]
         return pd.Series(out)
 
     at = "_at"
     while at in docs.columns:
         at += "_"
-    n_cells = len(cells)
-    dealt = docs.withColumn(at, own).withColumn("cell", cell_of(at)).repartition(max(1, min(n_cells, 4 * shuffle_partitions(spark))), "cell")
+    n_cells = n_shards * blocks
+    # cells have equal sizes, so they are dealt to tasks by number
+    dealt = docs.withColumn(at, own).withColumn("cell", cell_of(at)).repartitionById(max(1, min(n_cells, 4 * shuffle_partitions(spark))), "cell")
     order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed), F.lit("again"), at), at)
-    base = F.from_json(F.lit(str(offsets)), "array<bigint>")
-    return (
-        dealt.withColumn("slot", (F.row_number().over(order) - 1 + F.get(base, F.col("cell"))).cast("bigint"))
-        .withColumn("shard", (F.col("cell") / F.lit(blocks)).cast("int"))
-        .drop(at)
-    )
+    # the first slot of a cell: block j of a shard of S rows begins at j * (S div blocks) + least(j, S mod blocks)
+    size = f"({total // n_shards}L + if(cell div {blocks} < {total % n_shards}, 1, 0))"
+    base = F.expr(f"(cell % {blocks}) * ({size} div {blocks}) + least(cell % {blocks}, {size} % {blocks})")
+    return dealt.withColumn("slot", (F.row_number().over(order) - 1 + base).cast("bigint")).withColumn("shard", F.expr(f"cast(cell div {blocks} as int)")).drop(at)

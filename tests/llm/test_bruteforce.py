@@ -359,3 +359,41 @@ def test_pipeline(spark):
             want[i] = (len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest())
     assert [n for n, _ in P.STAGES][0] == "quality rules" and len(P.STAGES) == 5
     assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in P.run(spark, SF).collect()} == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc", "é", ".", "1", " ", "  ", "\n", " \n", "\t", "　", "\x1c", "\x85", "​", "<|endoftext|>", "'s"]), max_size=40))
+def test_cells_of_odd_white_space(parts):
+    """Texts are cut at every safe place, and the cells give the library's ids."""
+    import array
+
+    from palisade.llm.cells import cells, counter, packer
+
+    text, byte = "".join(parts), public_tokenizers.path("byte_bpe_50k.json")
+    ids = _tok(byte).encode(text, add_special_tokens=False).ids
+    assert packer(byte).encode([text])[0] == array.array("I", ids).tobytes() and counter(byte).encode([text]) == [len(ids)]
+    cut, odd = cells(text)
+    assert " ".join(cut) == text and len(cut) == 1 + len([m for m in re.finditer(" ", text) if m.start() and not text[m.start() - 1].isspace()])
+    assert all(any(c.isspace() for c in cut[k]) or not cut[k] for k in odd)
+
+
+def test_stores_are_bounded_by_bytes():
+    from palisade.llm import bpe as B
+
+    model = B.Bpe(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefgh1.") for _ in range(20_000)) for _ in range(5)]
+    tok = _tok(public_tokenizers.path("word_bpe_49k.json"))
+    for t in texts:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert model.encode([t])[0][0] == b"".join(i.to_bytes(4, "little") for i in ids)
+    assert not model._chunks and max(map(len, model._words)) <= B.MAX_LENGTH
+
+
+def test_long_words_take_compact_lists(monkeypatch):
+    from palisade.llm import bpe as B
+
+    monkeypatch.setattr(B, "MAX_SYMBOLS", 50)
+    model, tok = B.Bpe(public_tokenizers.path("word_bpe_49k.json")), _tok(public_tokenizers.path("word_bpe_49k.json"))
+    text = "reading " * 30 + "therefore" * 200 + " ending"
+    assert model.encode([text])[0][0] == b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids)
