@@ -1,21 +1,30 @@
-"""Line dedup: hashes of all shortest runs of lines, DataFrame functions only.
+"""Line dedup: winnowing over line hashes, DataFrame functions only.
 
 A text's lines are the pieces between line feeds, and each is hashed. A line is
 deleted if it lies in a run of lines with ``MIN_WORDS`` words or more that stands
 somewhere earlier too (smaller document id, then row, then line). Such a run can
 be shortened from both ends, as long as it holds the line and has the words, to
-the shortest run from its first line on or the shortest one up to its last line.
-So the keys are the hashes of just these runs, two a line and mostly the same;
-for a blank line at an edge, the hash of the run next to it and the distance. Of
-each key's places the first stays and all others are deleted: every place of a
-key is a true copy, and nothing has to be compared or extended. What is deleted
-stands somewhere earlier, so one copy of every line always stays.
+the shortest run from its first line on or the shortest one up to its last line:
+these are the windows.
+
+Winnowing: of each window the smallest line hash is its fingerprint, so any two
+copies of a run have the fingerprints of all windows in it in common, and
+neighbouring windows mostly share theirs. Positions are joined by fingerprint: a
+window whose fingerprint stands at one place only can't be repeated and goes. A
+fingerprint alone doesn't tell which of its places are copies of each other (a
+frequent short line is the smallest of many windows), so matches are extended both
+ways to the whole window: its key is the hash of all its lines; for a blank line at
+an edge, the hash of the run next to it and the distance. Of each key's places the
+first stays and all others are deleted; windows that overlap or touch make up the
+maximal runs. What is deleted stands somewhere earlier, so one copy of every line
+always stays.
 
 Work and shuffles grow with the number of lines: a run has at most ``MIN_WORDS``
 lines that aren't blank, and a key with n places is joined to its first one n - 1
-times. The aggregation that finds the first place is combined in the map tasks,
-and joins on hot keys are sort-merge joins that adaptive execution splits. Runs
-are told apart by 64 bits of hashes of lines, lines by 60.
+times, never place with place. The aggregations that find fingerprints with two
+places and the first place of a key are combined in the map tasks, and joins on hot
+keys are sort-merge joins that adaptive execution splits. Runs are told apart by 64
+bits of hashes of lines, lines by 60.
 """
 
 from __future__ import annotations
@@ -38,7 +47,8 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """k, id, r, a, b: the keys of row r, each with the lines a to b it stands for."""
+    """k, id, r, a, b, m: the keys of row r, each with the lines a to b it stands
+    for, and the window's smallest line hash."""
     each = lines.selectExpr("r", "id", "size(a) as size", "posexplode(a) as (p, x)").selectExpr("r", "id", "size", "p", "x.h as h", "x.n as n").where("n > 0")
     by = Window.partitionBy("r").orderBy("p")
     each = each.select(
@@ -56,17 +66,23 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     each = each.withColumn("kf", F.expr(f"if(total - c >= {min_words}, {key.format('f')}, null)")).withColumn("kg", F.expr(f"if(e >= {min_words}, {key.format('g')}, null)"))
     # a shortest run up to a line is mostly the shortest one from its first line as well, and then has its key already
     new = f"aggregate(g, 0, (s, x) -> s + x.n) - n >= {min_words}"
+    low = "array_min(transform({0}, x -> x.h))"
+    each = each.withColumn("mf", F.expr(low.format("f"))).withColumn("mg", F.expr(low.format("g")))
     found = f"""concat(
-        if(kf is null, array(), array(struct(kf as k, p as a, f[size(f) - 1].p as b))),
-        if(kg is null or not {new}, array(), array(struct(kg as k, g[0].p as a, p as b))),
-        if(kf is null or before = 0, array(), transform(sequence(1, before), i -> struct(xxhash64(kf, -i) as k, p - i as a, p - i as b))),
-        if(kg is null or after = 0, array(), transform(sequence(1, after), i -> struct(xxhash64(kg, i) as k, p + i as a, p + i as b))))"""
-    return each.selectExpr("r", "id", f"inline({found})").select("k", "id", "r", "a", "b")
+        if(kf is null, array(), array(struct(kf as k, p as a, f[size(f) - 1].p as b, mf as m))),
+        if(kg is null or not {new}, array(), array(struct(kg as k, g[0].p as a, p as b, mg as m))),
+        if(kf is null or before = 0, array(), transform(sequence(1, before), i -> struct(xxhash64(kf, -i) as k, p - i as a, p - i as b, mf as m))),
+        if(kg is null or after = 0, array(), transform(sequence(1, after), i -> struct(xxhash64(kg, i) as k, p + i as a, p + i as b, mg as m))))"""
+    return each.selectExpr("r", "id", f"inline({found})").select("k", "id", "r", "a", "b", "m")
 
 
 def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """r, runs (array of first and last line to delete) of the rows that have any."""
     places = written(windows(_lines(rows), min_words), shared_dir(rows.sparkSession, "line-windows"))
+    # fingerprints with windows that differ in their place
+    place = F.struct("r", "a", "b")
+    prints = places.groupBy("m").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("m")
+    places = places.join(prints.hint("merge"), "m", "left_semi").select("k", "id", "r", "a", "b")
     first = places.groupBy("k").agg(F.min(F.struct("id", "r", "a")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.col("f.r").alias("r0"), F.col("f.a").alias("a0"))
     later = places.select("k", "r", "a", "b").join(first, "k").where("r <> r0 or a <> a0").select("r", "a", "b")
     # runs that overlap or touch become one
