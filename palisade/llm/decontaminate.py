@@ -2,19 +2,24 @@
 
 Documents are gathered in shards of about ``SHARD_CHARS`` characters. Their words
 become numbers (0: not in the benchmark), and the suffixes that begin with a
-benchmark word are sorted by prefix doubling. Every suffix of every benchmark
-item is then looked up by binary search, word by word, in all shards; its
-interval after ``window`` words holds all places where that window stands. From
-there, matches are extended to the longest verbatim ones.
+benchmark word are sorted once a shard, by prefix doubling. Every suffix of every
+benchmark item is then looked up by binary search, word by word, in all shards;
+its interval after ``window`` words holds all places where that window stands. In
+the passages that are found, the longest verbatim match with an item is looked up
+in the item's own suffix array: from a match that ends at a word, the next one to
+try is the first that reaches beyond it, so all maximal matches are met.
 
 Words are lower-cased in A-Z and are runs of digits, letters a-z and characters
-beyond ASCII. An item's windows are its runs of ``window`` consecutive words; an
-item with fewer words (but some) is one window. A document's word is hit if it
-lies in any occurrence of any window. Matches never cross documents.
-
-The benchmark is written to the shared folder in blocks of ``BLOCK_WORDS`` words
-and every shard is searched for block after block, so neither its size nor the
-number of documents that share a passage bounds what can be found.
+beyond ASCII, numbered by the order of their 64-bit hashes among the benchmark's.
+An item's windows are its runs of ``window`` consecutive words; an item with fewer
+words (but some) is one window. A document's word is hit if it lies in any
+occurrence of any window. Matches never cross documents.
+
+Tasks write the benchmark to the shared folder in blocks of about ``BLOCK_WORDS``
+words, with the windows, vocabulary and suffix array of each; only the names of the
+blocks reach the driver. Every shard is searched for block after block, so neither
+the benchmark's size nor the number of documents that share a passage bounds what
+can be found; a worker keeps the ``KEPT`` blocks that it used last.
 """
 
 from __future__ import annotations
@@ -25,12 +30,16 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palisade.llm.common import Store, shared_dir
 
 WINDOW = 10
 SHARD_CHARS = 4 << 20
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 500_000
+KEPT = 16
+#: Words whose numbers a worker remembers.
+MAX_KNOWN = 1_000_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -38,64 +47,122 @@ def words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
+def hashes(found: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, none of them 0."""
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(w) or 1 for w in found], np.uint64)
+
+
 class Block:
-    """Items of the benchmark as one stream of word numbers, and its windows."""
+    """Items of the benchmark as one stream of numbers (0 after each item), their
+    windows and suffix array. ``numbered`` puts the numbers of a larger vocabulary
+    in; they keep the order, so the suffix array stays."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        number = self.vocabulary.setdefault
-        stream, starts, lengths, owners = [], [], [], []
         self.names = [name for name, _ in items]
-        for k, (_, w) in enumerate(items):
-            ids = [number(x, len(self.vocabulary) + 1) for x in w]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1) if ids else ():
-                starts.append(len(stream) + i)
-                lengths.append(n)
-                owners.append(k)
-            stream += ids + [-1]
-        self.stream = np.array(stream, np.int64)
+        parts = [x for _, w in items for x in (hashes(w), np.zeros(1, np.uint64))]
+        self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.vocabulary = np.unique(self.hashes[self.hashes > 0])
+        self.begin = np.cumsum([0, *[len(w) + 1 for _, w in items]])
+        self.stream = self.numbered(self.vocabulary)
+        self.sa = suffix_array(self.stream, len(self.stream))
         # equal windows are looked up once: the first of them stands for all
         first: dict[bytes, int] = {}
-        self.start, self.length, self.items = [], [], []
-        for s, n, k in zip(starts, lengths, owners):
-            at = first.setdefault(self.stream[s : s + n].tobytes(), len(self.start))
-            if at == len(self.start):
-                self.start.append(s)
-                self.length.append(n)
-                self.items.append([])
-            if k not in self.items[at]:
-                self.items[at].append(k)
-        self.start, self.length = np.array(self.start, np.int64), np.array(self.length, np.int64)
+        start, length, owners = [], [], []
+        for k, (_, w) in enumerate(items):
+            n, at = min(window, len(w)), int(self.begin[k])
+            for s in range(at, at + len(w) - n + 1) if w else ():
+                j = first.setdefault(self.stream[s : s + n].tobytes(), len(start))
+                if j == len(start):
+                    start.append(s)
+                    length.append(n)
+                owners.append(j * len(items) + k)
+        self.start, self.length = np.array(start, np.int64), np.array(length, np.int64)
+        # the items of window j: owner[first_owner[j] : first_owner[j + 1]]
+        owners = np.unique(np.array(owners, np.int64))
+        self.owner = owners % max(1, len(items))
+        self.first_owner = np.searchsorted(owners // max(1, len(items)), np.arange(len(start) + 1))
+
+    def numbered(self, vocabulary: np.ndarray) -> np.ndarray:
+        return np.where(self.hashes > 0, np.searchsorted(vocabulary, self.hashes) + 1, 0).astype(np.int64)
 
 
 def write_blocks(benchmark: DataFrame, root: str, window: int, block_words: int = BLOCK_WORDS) -> list[str]:
-    """Rows come to the driver one partition at a time and leave in blocks."""
-    store, names, held, size = Store(root), [], [], 0
-
-    def flush():
-        names.append(f"block-{len(names):05d}.pickle")
-        with store.create(names[-1]) as f:
-            f.write(pickle.dumps(Block(held, window), protocol=5))
-
-    for r in benchmark.selectExpr("cast(item_id as string) as i", "cast(text as string) as t").distinct().toLocalIterator():
-        w = words(r.t)
-        if w:
-            held.append((r.i or "", w))
-            size += len(w)
-        if size >= block_words:
+    """The names of the blocks that the tasks have written."""
+    rows = benchmark.selectExpr("cast(item_id as string) as i", "cast(text as string) as t").distinct()
+    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
+
+    def build(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        store, names, held, n = Store(root), [], [], 0
+
+        def flush():
+            block, name = Block(held, window), f"block-{uuid.uuid4().hex}"
+            vocabulary, block.vocabulary, block.stream = block.vocabulary, None, None
+            with store.create(f"{name}.vocabulary") as f:
+                f.write(vocabulary.tobytes())
+            with store.create(f"{name}.pickle") as f:
+                f.write(pickle.dumps(block, protocol=5))
+            names.append(name)
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words(t)
+                if w:
+                    held.append((i or "", w))
+                    n += len(w)
+                if n >= block_words:
+                    flush()
+                    held, n = [], 0
+        if held:
             flush()
-            held, size = [], 0
-    if held or not names:
-        flush()
-    return names
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    tasks = max(1, -(-size // (8 * block_words)))
+    return sorted(r[0] for r in rows.coalesce(tasks).mapInArrow(build, "name string").collect())
+
+
+class Vocabulary:
+    """The benchmark's words, and the numbers of a document's words."""
+
+    def __init__(self, root: str, names: list[str]):
+        parts = [np.zeros(0, np.uint64)]
+        for name in names:
+            with Store(root).open(f"{name}.vocabulary") as f:
+                parts.append(np.frombuffer(f.read(), np.uint64))
+        self.all = np.unique(np.concatenate(parts))
+        self._known: dict[bytes, int] = {}
+
+    def numbers(self, found: list[bytes]) -> list[int]:
+        known = self._known
+        if len(known) > MAX_KNOWN:
+            known.clear()
+        new = [w for w in set(found) if w not in known]
+        if new and len(self.all):
+            h = hashes(new)
+            at = np.minimum(np.searchsorted(self.all, h), len(self.all) - 1)
+            known.update(zip(new, np.where(self.all[at] == h, at + 1, 0).tolist()))
+        else:
+            known.update(dict.fromkeys(new, 0))
+        return [known[w] for w in found]
 
 
 @lru_cache(maxsize=1)
-def _block(root: str, name: str) -> Block:
-    with Store(root).open(name) as f:
-        return pickle.loads(f.read())
+def _vocabulary(root: str, names: tuple[str, ...]) -> Vocabulary:
+    return Vocabulary(root, list(names))
+
+
+@lru_cache(maxsize=KEPT)
+def _block(root: str, name: str, names: tuple[str, ...]) -> Block:
+    with Store(root).open(f"{name}.pickle") as f:
+        block = pickle.loads(f.read())
+    block.stream = block.numbered(_vocabulary(root, names).all)
+    return block
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -170,68 +237,117 @@ def search(text: np.ndarray, sa: np.ndarray, query: np.ndarray, start: np.ndarra
 class Found:
     """What one document has of the benchmark."""
 
-    __slots__ = ("n_words", "spans", "items", "longest", "where")
+    __slots__ = ("n_words", "n_hit", "items", "longest", "where")
 
     def __init__(self, n_words: int):
-        self.n_words, self.spans, self.items = n_words, [], set()
+        self.n_words, self.n_hit, self.items = n_words, 0, set()
         self.longest, self.where = 0, None
 
-    def hit(self) -> int:
-        end = total = 0
-        for a, b in sorted(self.spans):
-            total += max(0, b - max(a, end))
-            end = max(end, b)
-        return total
-
-
-def _match(block: Block, docs: list[list[bytes]], found: list[Found]) -> None:
-    """Looks all windows of a block up in one shard."""
-    if not len(block.start):
-        return
-    get = block.vocabulary.get
-    sizes = np.array([len(w) + 1 for w in docs], np.int64)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    text = np.zeros(int(begin[-1]), np.int64)
-    for i, w in enumerate(docs):
-        text[begin[i] : begin[i + 1] - 1] = [get(x, 0) for x in w]
-    sa = suffix_array(text, block.window)
-    if not len(sa):
-        return
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common prefix."""
+    n, at, step = min(len(a), len(b)), 0, 16
+    while at < n:
+        to = min(n, at + step)
+        differ = a[at:to] != b[at:to]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = to, step * 4
+    return n
+
+
+def longest_prefix(block: Block, query: np.ndarray) -> tuple[int, int]:
+    """How many of the query's first words stand in an item, and where in the stream."""
+    stream, sa, lo, hi, best, at = block.stream, block.sa, 0, len(block.sa), 0, -1
+    while lo < hi:
+        mid = (lo + hi) >> 1
+        s = int(sa[mid])
+        n = _common(query, stream[s : s + len(query)])
+        if n > best:
+            best, at = n, s
+        if n == len(query):
+            break
+        if s + n < len(stream) and stream[s + n] > query[n]:
+            hi = mid
+        else:
+            lo = mid + 1
+    return best, at
+
+
+def maximal_matches(block: Block, query: np.ndarray):
+    """(begin, length, place in the stream) of matches with items that can't be extended."""
+    p, e = 0, 0
+    while p < len(query):
+        n, at = longest_prefix(block, query[p:])
+        if n and p + n > e:
+            e = p + n
+            yield p, n, at
+        if p + n >= len(query):
+            return
+        # the first begin from which a match reaches beyond the end of this one
+        end = p + n + 1
+        lo, hi = p + 1, end
+        while lo < hi:
+            mid = (lo + hi) >> 1
+            if longest_prefix(block, query[mid:end])[0] == end - mid:
+                hi = mid
+            else:
+                lo = mid + 1
+        p = lo
+
+
+def _match(block: Block, text: np.ndarray, sa: np.ndarray, begin: np.ndarray, found: list[Found]) -> np.ndarray:
+    """Looks all windows of a block up in one shard; marks the words that are hit."""
+    hit = np.zeros(len(text), bool)
+    if not len(block.start) or not len(sa):
+        return hit
     lo, hi = search(text, sa, block.stream, block.start, block.length)
     some = np.flatnonzero(hi > lo)
     if not len(some):
-        return
+        return hit
     count = (hi - lo)[some]
     which = np.repeat(some, count)
     at = sa[np.repeat(lo[some], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
+    edge = np.zeros(len(text) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + block.length[which], -1)
+    hit = np.cumsum(edge)[:-1] > 0
     doc = np.searchsorted(begin, at, "right") - 1
-    # maximal matches: a window whose neighbours one word before match too only continues one
-    order = np.lexsort((at - block.start[which], doc))
-    last = None
-    for k in order.tolist():
-        d, q, p = int(doc[k]), int(which[k]), int(at[k])
-        s, n = int(block.start[q]), int(block.length[q])
-        f, rel = found[d], p - int(begin[d])
-        f.items.update(block.names[i] for i in block.items[q])
-        if last and last[0] == d and f.spans and f.spans[-1][0] <= rel <= f.spans[-1][1]:
-            f.spans[-1] = (f.spans[-1][0], max(f.spans[-1][1], rel + n))
-        else:
-            f.spans.append((rel, rel + n))
-        last = (d,)
-        # the longest verbatim match: on as far as item and document agree
-        e = n
-        if f.where is None or rel + n > f.where[0] + f.longest or rel < f.where[0]:
-            while s + e < len(block.stream) and p + e < len(text) and block.stream[s + e] > 0 and block.stream[s + e] == text[p + e]:
-                e += 1
-            if e > f.longest:
-                f.longest, f.where = e, (rel, block.names[block.items[q][0]])
+    pairs = np.unique(doc * np.int64(len(block.start)) + which)
+    for d, q in zip((pairs // len(block.start)).tolist(), (pairs % len(block.start)).tolist()):
+        found[d].items.update([block.names[k] for k in block.owner[block.first_owner[q] : block.first_owner[q + 1]].tolist()])
+    # passages: runs of words that are hit (documents are apart by a word that never is)
+    turn = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    for a, b in zip(turn[0::2].tolist(), turn[1::2].tolist()):
+        d = int(np.searchsorted(begin, a, "right")) - 1
+        f = found[d]
+        if b - a < f.longest:
+            continue
+        for p, n, s in maximal_matches(block, text[a:b]):
+            item = block.names[int(np.searchsorted(block.begin, s, "right")) - 1]
+            if (n, -(a + p - int(begin[d]))) > (f.longest, -f.where[0] if f.where else 1):
+                f.longest, f.where = n, (a + p - int(begin[d]), item)
+    return hit
 
 
 def find(texts: list, root: str, names: list[str]) -> list[Found]:
-    docs = [words(t) for t in texts]
+    names, docs = tuple(names), [words(t) for t in texts]
     found = [Found(len(w)) for w in docs]
+    if not names:
+        return found
+    vocabulary = _vocabulary(root, names)
+    begin = np.concatenate(([0], np.cumsum([len(w) + 1 for w in docs]))).astype(np.int64)
+    text = np.zeros(int(begin[-1]), np.int64)
+    for i, w in enumerate(docs):
+        text[begin[i] : begin[i + 1] - 1] = vocabulary.numbers(w)
+    window = _block(root, names[0], names).window
+    sa = suffix_array(text, window)
+    hit = np.zeros(len(text), bool)
     for name in names:
-        _match(_block(root, name), docs, found)
+        hit |= _match(_block(root, name, names), text, sa, begin, found)
+    total = np.concatenate(([0], np.cumsum(hit)))
+    for f, a, b in zip(found, begin[:-1].tolist(), begin[1:].tolist()):
+        f.n_hit = int(total[b] - total[a])
     return found
 
 
@@ -259,12 +375,14 @@ def _shards(batches, column: int, most: int):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS, root: str | None = None) -> DataFrame:
     """A row per document: n_words, n_hit, n_items, items_sha256 (of the sorted
-    item ids, joined by commas), contaminated, and the longest verbatim match
-    (``longest`` words from word ``longest_at``, of ``longest_item``).
-
-    Null and empty texts have no words; null item ids count as the empty id and
-    rows with equal ids as one item; repeated documents are rows of their own.
-    With an empty benchmark nothing is hit.
+    item ids, joined by commas), contaminated, and the longest verbatim match of
+    hit words with an item (``longest`` words from word ``longest_at``, the first
+    of several, of ``longest_item``, an item that holds it).
+
+    Null and empty texts have no words; very long texts are a shard of their own;
+    null item ids count as the empty id and rows with equal ids as one item;
+    repeated documents are rows of their own; other columns are not read. With an
+    empty benchmark nothing is hit.
     """
     root = root or shared_dir(docs.sparkSession, "benchmark")
     names = write_blocks(benchmark, root, window)
@@ -279,7 +397,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         for b in _shards(batches, 1, shard_chars):
             rows = []
             for i, f in zip(b.column(0).to_pylist(), find(b.column(1).to_pylist(), root, names)):
-                n = f.hit()
+                n = f.n_hit
                 at, item = f.where or (None, None)
                 rows.append((i, f.n_words, n, len(f.items), hashlib.sha256(",".join(sorted(f.items)).encode()).hexdigest(), n > 0, f.longest, at, item))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=columns)
@@ -289,7 +407,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS, root: str | None = None) -> DataFrame:
-    """The documents (all columns) in which no window occurs."""
+    """The documents (all columns) in which no window occurs; cases as for ``contamination``."""
     root = root or shared_dir(docs.sparkSession, "benchmark")
     names = write_blocks(benchmark, root, window)
     at = docs.columns.index("text")
@@ -298,6 +416,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         import pyarrow as pa
 
         for b in _shards(batches, at, shard_chars):
-            yield b.filter(pa.array([not f.spans for f in find(b.column(at).to_pylist(), root, names)], pa.bool_()))
+            yield b.filter(pa.array([not f.n_hit for f in find(b.column(at).to_pylist(), root, names)], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
