@@ -1,40 +1,45 @@
 """Quality rules: hashed n-gram log-likelihood ratio, DataFrame functions only.
 
-Words and word pairs are hashed to ``BUCKETS`` buckets. Two multinomials are
-estimated: one over trusted documents, one over the whole corpus. A document's
-score is the mean over its n-grams of ``ln p_trusted - ln p_corpus``; it is kept
-if that is at least ``THRESHOLD``. The trusted counts are smoothed by ``PRIOR``
-n-grams a bucket in the corpus's own proportion, so a bucket that has hardly
-been seen says little. An n-gram of the document itself is left out of both
-counts (else documents of the trusted sample would always do better): there is
-a table of weights for documents in the sample and one for all others. Weights
-are integers (1/1024 nat), so sums don't depend on their order and each verdict
-is the same in every run.
-
-The corpus counts cover every document; they are combined in the map tasks, so
-the shuffle has one row per bucket and task. The trusted sample is bounded:
-``TRUSTED_ROWS`` label rows, those with the smallest hash of their id. What goes
-back into the plan is the table of weights, whose size is fixed by ``BUCKETS``.
+Words and word pairs are hashed to buckets. Two multinomials are estimated: one
+over trusted documents, one over the whole corpus. A document's score is the mean
+over its n-grams of ``ln p_trusted - ln p_corpus``; it is kept if that is at least
+``THRESHOLD``. The trusted counts are smoothed by ``PRIOR`` n-grams a bucket in the
+corpus's own proportion, so a bucket that has hardly been seen says little. An
+n-gram of the document itself is left out of both counts (else documents of the
+trusted sample would always do better): there is a weight for documents in the
+sample and one for all others. Weights are integers (1/1024 nat), so sums don't
+depend on their order and each verdict is the same in every run.
+
+The number of buckets grows with the corpus, as its vocabulary does: the power of
+two above ``BUCKET_ROOT`` times the square root of the text's bytes (2^16 for 25 MB,
+2^21 for 30 GB, 2^27 for 100 TB). The corpus counts cover every document; they are
+combined in the map tasks, so the shuffle has one row per bucket and task, and are
+written to the shared folder. The weights (4 bytes a bucket) come back into the plan
+as the value of a scalar subquery, never to Python. The trusted sample is bounded:
+``TRUSTED_ROWS`` label rows, those with the smallest hash of their id.
 
 Windows of three words are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of the two multinomials; a constant, so the weights are a literal of the plan.
-BUCKETS = 16_384
+from palisade.llm.common import shared_dir, written
+
+#: Buckets per square root of the corpus's bytes.
+BUCKET_ROOT = 8
+#: Buckets whose weights one task puts together.
+CHUNK = 4096
 #: Trusted label rows that are used at most.
 TRUSTED_ROWS = 20_000
 #: Nats per n-gram below which a document goes.
-THRESHOLD = -0.05
-#: Corpus n-grams a bucket that the trusted counts are smoothed by.
-PRIOR = 200
+THRESHOLD = -0.11
+#: N-grams a bucket that the trusted counts are smoothed by.
+PRIOR = 6
 #: Steps of a weight in one nat.
 SCALE = 1024
 
@@ -55,9 +60,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.withColumn("w", F.array_remove(F.split(_replaced(F.col("t"), SPACES, " "), " "), ""))
 
 
-#: Of word i: the bucket of the word, and that of the pair it begins (or null).
-_UNI = f"cast(pmod(xxhash64(x, 1), {BUCKETS}) as int)"
-_PAIR = f"if(i + 1 < size(w), cast(pmod(xxhash64(x, get(w, i + 1), 2), {BUCKETS}) as int), null)"
+def buckets_for(n_bytes: int) -> int:
+    return 1 << max(12, math.ceil(math.log2(BUCKET_ROOT * math.sqrt(n_bytes + 1))))
+
+
+def of_word(buckets: int) -> tuple[str, str]:
+    """SQL for word i, x, of w: its bucket, and that of the pair it begins (or null)."""
+    return f"cast(pmod(xxhash64(x, 1), {buckets}) as int)", f"if(i + 1 < size(w), cast(pmod(xxhash64(x, get(w, i + 1), 2), {buckets}) as int), null)"
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -71,31 +80,36 @@ def _flagged(d: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return d.join(F.broadcast(trusted_ids(labels, rows).select(F.col("doc_id").alias("id"), F.lit(1).alias("good"))), "id", "left")
 
 
-def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRUSTED_ROWS) -> tuple[list[int], list[int]]:
-    """The weight of each bucket for documents outside the trusted sample, and
-    for those in it; zeros where no trusted document is found."""
-    d = _rows(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")), "id", "t").select("id", "w")
-    grams = _flagged(d, labels, rows).selectExpr("good", f"inline_outer(transform(w, (x, i) -> struct({_UNI} as u, {_PAIR} as p)))").selectExpr("good", "explode(array(u, p)) as b")
-    counts = grams.where("b is not null").groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")).collect()
-    n_raw, n_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
-    out, own = [0] * BUCKETS, [0] * BUCKETS
-    if n_good:
-        share = n_good / n_raw
+def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRUSTED_ROWS) -> tuple[Column, int]:
+    """A scalar struct<other, own> of the weights of all buckets, for documents
+    outside the trusted sample and for those in it (zeros where no trusted document
+    is found), and the number of buckets."""
+    spark = docs.sparkSession
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    buckets = buckets_for(plain.agg(F.sum(F.octet_length("t").cast("bigint"))).first()[0] or 0)
+    uni, pair = of_word(buckets)
+    grams = _flagged(_rows(plain, "id", "t").select("id", "w"), labels, rows).selectExpr("good", f"inline_outer(transform(w, (x, i) -> struct({uni} as u, {pair} as p)))").selectExpr("good", "explode(array(u, p)) as b")
+    counts = written(grams.where("b is not null").groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")), shared_dir(spark, "ngram-counts"))
+    total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
+    share = (total.good or 0) / (total.raw or 1)
 
-        def weight(good: int, raw: int) -> int:
-            return round(SCALE * math.log((max(good, 0) + PRIOR * share) / (share * (raw + PRIOR))))
+    def weight(good: str, raw: str) -> str:
+        # the prior in corpus n-grams is PRIOR / share
+        return f"cast(round({SCALE} * ln((greatest({good}, 0) + {PRIOR}D) / ({share!r}D * {raw} + {PRIOR}D))) as smallint)" if share else "cast(0 as smallint)"
 
-        for r in counts:
-            out[r["b"]] = weight(r["good"], r["raw"] - 1)
-            own[r["b"]] = weight(r["good"] - 1, r["raw"] - 1)
-    return out, own
+    every = spark.range(buckets).selectExpr("cast(id as int) as b").join(counts, "b", "left")
+    every = every.selectExpr(f"b div {CHUNK} as c", "b", f"coalesce({weight('good', '(raw - 1)')}, cast(0 as smallint)) as o", f"coalesce({weight('(good - 1)', '(raw - 1)')}, cast(0 as smallint)) as w")
+    chunk = every.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("b", "o", "w"))).alias("a")).selectExpr("c", "transform(a, x -> x.o) as o", "transform(a, x -> x.w) as w")
+    whole = chunk.agg(F.array_sort(F.collect_list(F.struct("c", "o", "w"))).alias("a")).selectExpr("struct(flatten(transform(a, x -> x.o)) as other, flatten(transform(a, x -> x.w)) as own) as v")
+    return written(whole, shared_dir(spark, "ngram-weights")).select("v").scalar(), buckets
 
 
-def score(docs: DataFrame, labels: DataFrame, weight: tuple[list[int], list[int]], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rows: int = TRUSTED_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, weight: tuple[Column, int], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rows: int = TRUSTED_ROWS) -> DataFrame:
     """``row`` (the whole input row), ``id`` and the columns in ``FEATURES``.
 
-    Null and empty texts have no words and fail the base rules. Rows are judged
-    one by one: equal rows get equal verdicts, and other columns play no part.
+    Null and empty texts have no words and fail the base rules; very long texts
+    are judged whole, in one row. Rows are judged one by one: equal rows get equal
+    verdicts, and other columns play no part. An empty table gives no rows.
     """
     d = _flagged(_rows(docs, id_col, text_col), labels, rows)
     lines = f"filter(split(t, '\\n'), l -> trim(BOTH ' {SPACES}' FROM l) <> '')"
@@ -110,9 +124,10 @@ def score(docs: DataFrame, labels: DataFrame, weight: tuple[list[int], list[int]
         F.expr(lines).alias("l"),
         F.expr("transform(w, (x, i) -> if(i + 2 < size(w), xxhash64(x, get(w, i + 1), get(w, i + 2)), null))").alias("h"),
     )
-    out, own = (f"from_json('{json.dumps(w, separators=(',', ':'))}', 'array<int>')" for w in weight)
-    sums = "aggregate(transform(w, (x, i) -> get({0}, {1}) + coalesce(get({0}, {2}), 0)), 0L, (a, b) -> a + b)"
-    sums = f"if(good is null, {sums.format(out, _UNI, _PAIR)}, {sums.format(own, _UNI, _PAIR)})"
+    found, buckets = weight
+    uni, pair = of_word(buckets)
+    sums = f"aggregate(transform(w, (x, i) -> get(v, {uni}) + coalesce(get(v, {pair}), 0)), 0L, (a, b) -> a + b)"
+    d = d.withColumn("v", F.when(F.col("good").isNull(), found["other"]).otherwise(found["own"]))
     d = d.select(
         "row", "id", "n_words", "word_chars", "n_symbols",
         F.expr("cast(size(l) - size(array_distinct(l)) as bigint)").alias("n_dup_lines"),

@@ -185,7 +185,7 @@ def test_quality_base_and_score(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = Q.judge(docs, labels).select("row.text", "id", *Q.FEATURES).collect()
     # buckets come from Spark's own hash; all the rest is computed here
-    grams = docs.selectExpr("doc_id", "array_remove(split(translate(text, '\t\n\u000b\f\r', '     '), ' '), '') as w").selectExpr("doc_id", f"transform(w, (x, i) -> array({Q._UNI}, {Q._PAIR})) as g")
+    grams = docs.selectExpr("doc_id", "array_remove(split(translate(text, '\t\n\u000b\f\r', '     '), ' '), '') as w").selectExpr("doc_id", "transform(w, (x, i) -> array({}, {})) as g".format(*Q.of_word(Q.buckets_for(docs.selectExpr("sum(octet_length(text))").first()[0]))))
     bags = {r.doc_id: [b for p in r.g for b in p if b is not None] for r in grams.collect()}
     good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
     raw, trusted = collections.Counter(), collections.Counter()
@@ -197,7 +197,7 @@ def test_quality_base_and_score(spark):
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == quality(r.text)
         own = r.id in good
-        total = sum(round(Q.SCALE * math.log((max(trusted[b] - own, 0) + Q.PRIOR * share) / (share * (raw[b] - 1 + Q.PRIOR)))) for b in bags[r.id])
+        total = sum(round(Q.SCALE * math.log((max(trusted[b] - own, 0) + Q.PRIOR) / (share * (raw[b] - 1) + Q.PRIOR))) for b in bags[r.id])
         base = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
         n = len(bags[r.id])
         assert r.base_failed == base and r.kept == (not base and total >= Q.THRESHOLD * Q.SCALE * n)
@@ -213,6 +213,7 @@ def test_quality_held_out(spark):
     verdicts = {r.id: r.kept for r in judge(docs, labels.where("doc_id % 2 = 0")).select("id", "kept", "base_failed").collect() if not r.base_failed}
     rows = [r for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in verdicts]
     clean = [verdicts[r.doc_id] for r in rows if r.quality == 1 and r.toxic == 0]
+    print("kept of clean and of all", sum(clean), len(clean), sum(verdicts.values()), len(verdicts))
     bad = [verdicts[r.doc_id] for r in rows if r.quality == 0]
     assert sum(clean) >= 0.95 * len(clean) and sum(bad) <= 0.2 * len(bad)
 
@@ -388,3 +389,42 @@ def test_long_words_take_compact_lists(monkeypatch):
     model, tok = B.Bpe(public_tokenizers.path("word_bpe_49k.json")), _tok(public_tokenizers.path("word_bpe_49k.json"))
     text = "reading " * 30 + "therefore" * 200 + " ending"
     assert model.encode([text])[0][0] == b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids)
+
+
+def test_longest_matches(spark, tmp_path):
+    """Overlapping, equal and short items in several blocks: hits, items and the longest match against all runs."""
+    from palisade.llm.decontaminate import contamination
+
+    rnd = random.Random(9)
+    story = [f"s{i}" for i in range(80)]
+    items = [(0, story[0:30]), (1, story[5:50]), (2, story[20:60]), (3, story[5:50]), (4, story[61:64]), (5, ["x", "y"] * 12)]
+    items += [(k, [rnd.choice("abc") for _ in range(rnd.randint(1, 16))]) for k in range(6, 30)]
+    docs = [(0, story), (1, story[5:50]), (2, story[3:27] + ["-"] + story[22:47]), (3, ["x", "y"] * 9), (4, [])]
+    docs += [(k, [rnd.choice("abcz") for _ in range(rnd.randint(1, 60))] + story[rnd.randint(0, 40) : 70]) for k in range(5, 40)]
+    frame = lambda rows, n: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{n} bigint, text string")
+    root = f"file://{tmp_path}/blocks"
+    import palisade.llm.decontaminate as D
+
+    size = D.BLOCK_WORDS
+    D.write_blocks.__defaults__ = (60,)
+    try:
+        got = {r.doc_id: r for r in contamination(frame(docs, "doc_id"), frame(items, "item_id"), root=root).collect()}
+    finally:
+        D.write_blocks.__defaults__ = (size,)
+    assert len(list((tmp_path / "blocks").glob("*.pickle"))) > 3
+    by = {str(i): [w for x in w_ for w in re.findall("[0-9a-z]+", x)] for i, w_ in items}
+    for i, w in docs:
+        w = [x for y in w for x in re.findall("[0-9a-z]+", y)]
+        hit, names = set(), set()
+        for name, v in by.items():
+            n = min(10, len(v))
+            for q in range(len(v) - n + 1):
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == v[q : q + n]:
+                        hit |= set(range(p, p + n))
+                        names.add(name)
+        held = {tuple(v[a:b]) for v in by.values() for a in range(len(v)) for b in range(a + 1, len(v) + 1)}
+        best = max(((b - a, -a) for a in hit for b in range(a + 1, len(w) + 1) if set(range(a, b)) <= hit and tuple(w[a:b]) in held), default=(0, None))
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items) == (len(w), len(hit), len(names)), i
+        assert r.longest == best[0] and (not hit or (r.longest_at == -best[1] and tuple(w[r.longest_at : r.longest_at + r.longest]) in {tuple(by[r.longest_item][a : a + r.longest]) for a in range(len(by[r.longest_item]))})), (i, r, best)

@@ -157,7 +157,7 @@ def test_blocks_of_the_benchmark(spark, tmp_path):
     names = D.write_blocks(items, root, 10, block_words=7)
     assert len(names) > 3
     found = D.find(["a one two three item 5 b", "one two three item", None], root, names)
-    assert [(f.hit(), f.items) for f in found] == [(5, {"5"}), (0, set()), (0, set())]
+    assert [(f.n_hit, f.items) for f in found] == [(5, {"5"}), (0, set()), (0, set())]
 
 
 def test_line_dedup(odd_docs, no_docs):
