@@ -328,6 +328,79 @@ def test_html_boilerplate():
     assert main_texts(sources) == [f"unique text number {k} of this page" for k in ("one", "two", "three")]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p title=it's>Main text one.</p><p>It isn't over</p><p>last</p>", ["Main text one.", "It isn't over", "last"]),
+    ("<p a='b>c' d=\"e>f\">x<p a='>y", ["x", "y"]),
+    ("a<!-->b<!-- > -- -->c<!x>d</ e>f<3 g< h", ["abcdf<3 g< h"]),
+    ("x<script>if (a</b>) '<p>'</SCRIPT >y<style>z", ["xy"]),
+    ("<article><p>a <math>E = mc</math> <span aria-hidden=true>b</span></p><button>c</button><p hidden>d</p></article>", ["a E = mc b"]),
+    ("x<p", ["x"]),
+])
+def test_html_markup(page, want):
+    from palisade.llm.html_extract import blocks
+
+    assert [t for t, _ in blocks(page)[0]] == want
+
+
+def test_html_is_read_once():
+    import time
+
+    from palisade.llm.html_extract import blocks
+
+    t = time.time()
+    for part in ("<p a='", "<p>x", "<!--", "</", "<script>", "<", "<a b=\"", "<p a=b c"):
+        blocks(part * 100_000)
+    blocks("<div><article>" + "<b>" * 100_000 + "</i></div>" * 100_000 + "<article>" * 50_000)
+    assert time.time() - t < 20
+
+
+def _covered(pages, run, least):
+    on = collections.defaultdict(set)
+    for k, page in enumerate(pages):
+        w = " ".join(page).split(" ")
+        for i in range(len(w) - run + 1):
+            on[tuple(w[i : i + run])].add(k)
+    out = []
+    for page in pages:
+        w = " ".join(page).split(" ")
+        hit = {j for i in range(len(w) - run + 1) if len(on[tuple(w[i : i + run])]) >= least for j in range(i, i + run)}
+        at, own = 0, []
+        for t in page:
+            n = len(t.split(" "))
+            own.append(len(hit & set(range(at, at + n))) / n)
+            at += n
+        out.append(own)
+    return out
+
+
+def _host(rnd, k):
+    parts = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14))) for _ in range(9)]
+    return [[rnd.choice(parts) if rnd.random() < 0.6 else f"own {i} {j} " + rnd.choice(parts) for j in range(rnd.randint(1, 5))] for i in range(k)]
+
+
+def test_covered_runs():
+    from palisade.llm.html_extract import covered
+
+    rnd = random.Random(4)
+    for _ in range(30):
+        pages = _host(rnd, rnd.randint(1, 9))
+        assert covered(pages, 4, 3) == _covered(pages, 4, 3)
+
+
+def test_html_hosts_in_groups(spark):
+    """Verdicts are those of the whole host, however it is cut."""
+    from palisade.llm.html_extract import COVERED, extract
+
+    rnd = random.Random(8)
+    hosts = {h: _host(rnd, 25) for h in "xyz"}
+    rows = [(i, f"http://{h}/{i}", "".join(f"<div>{t}</div>" for t in page)) for h, pages in hosts.items() for i, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {(f"http://{h}/{i}"): "\n\n".join(t for t, c in zip(page, shares) if c < COVERED) for h, pages in hosts.items() for i, (page, shares) in enumerate(zip(pages, _covered(pages, 8, 3)))}
+    for size in (1 << 20, 300, 1000):
+        got = {r.url: r.text for r in extract(df, group_bytes=size).collect()}
+        assert got == want
+
+
 def test_pipeline(spark):
     """run() against the stages done plainly, each on what the one before has kept."""
     import corpus_pipeline as P
