@@ -4,23 +4,32 @@ A text's set holds the hashes of its runs of ``N`` words (of all its words, if i
 has fewer). Texts with equal words are one set; only sets take part.
 
 Splitting: at a node of a run's tree a set chooses the elements t with
-``hash(node, t) < 1 / (similarity * size)``, each of which leads to a child node
-that all sets choosing t share. Two sets at the wanted similarity share one
+``hash(node, t) < 1 / (similarity * size)`` (size: elements that its path hasn't
+used), each of which leads to a child node that all sets choosing t share. Two sets at the wanted similarity share one
 chosen element on average, and more the more alike they are. Which elements a
 set chooses depends on node and set alone, so a set's paths are known without
 looking at others: its elements of depth 1 are its buckets, and the paths below
 each of them travel with it. Buckets of up to ``SMALL`` sets are compared by brute
 force; larger ones are split again by the next elements of their paths, down to
-depth ``DEPTH``; what is then still larger (sets that mostly are alike) is compared in
-blocks, every block with every other. The number of runs follows from the target
+depth ``DEPTH``; what is then still larger (sets that mostly are alike), and sets
+whose elements end inside a large bucket, are compared in blocks, every block with
+every other. The number of runs follows from the target
 recall by the recursion p(1) = 1 - 1/e, p(d) = 1 - exp(-p(d-1)).
 
 Comparing: in buckets, sets are compared by a sketch (one bit of each of ``BITS``
 minimum hashes); sets that may be similar are linked to their group's first, so a
 group of any size gives one row per set. The groups' components are then compared
-exactly, all pairs of a component's sets, in blocks of ``BLOCK`` sets: tasks count links and give a
-spanning forest of them, never the pairs. So every link inside a component counts,
-whichever run has found it.
+exactly, so that every link inside a component counts, whichever run has found it;
+tasks count links and give a spanning forest of them, never the pairs. From here on
+sets travel, not texts.
+
+A component of up to ``BLOCK`` sets is one task. In a larger one every set is first
+compared with one, the pivot, and falls in a ring by its distance 1 - J. Distance is
+a metric, so two sets whose distances add up to 1 - ``similarity`` at most are links
+for certain, and two whose distances differ by more aren't: both are settled by the
+rings' sizes. Only what is left is compared, in blocks of ``BLOCK`` sets of a ring. So
+copies of a template with small changes cost work in proportion to their number;
+the square is left for sets that lie between half the distance and the whole.
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import shared_dir, shuffle_partitions, written
+from palisade.llm.common import removed, shared_dir, shuffle_partitions, written
 from palisade.llm.components import components
 
 N = 5
@@ -43,6 +52,8 @@ DEPTH = 4
 SMALL = 1024
 #: Sets of a component in one block of the exact comparison.
 BLOCK = 256
+#: Rings of equal width around a pivot.
+RINGS = 256
 BITS = 128
 #: Equal bits of two sketches from which sets may be similar: 0.9 of them are equal
 #: on average at 0.8; at 4 standard deviations less, 1 pair in 30,000 is missed.
@@ -116,17 +127,20 @@ class Paths:
     def __call__(self, s: np.ndarray) -> list[tuple[int, bytes]]:
         """(bucket, paths): paths holds, level by level below the bucket, a count
         and (parent's index, child) pairs as 32-bit numbers."""
-        limit = np.uint64(min(2**64 - 1, int(2**64 / (self.similarity * len(s)))))
+        def limit(left: int) -> np.uint64:
+            # one choice on average that a similar set shares, of the elements that a path hasn't used
+            return np.uint64(min(2**64 - 1, int(2**64 / (self.similarity * max(1, left)))))
+
         out = []
-        run, at = np.nonzero(mix(self.roots[:, None] ^ s[None, :]) <= limit)
+        run, at = np.nonzero(mix(self.roots[:, None] ^ s[None, :]) <= limit(len(s)))
         keys = mix(mix(self.roots[run] ^ s[at]) + np.uint64(1))
         if not len(keys):
             return out
         # all nodes of a level at once; top: the bucket that each node is below
         node, top, used = keys, np.arange(len(keys)), at[:, None]
         levels = []
-        for _ in range(self.depth - 1):
-            chosen = mix(node[:, None] ^ s[None, :]) <= limit
+        for level in range(1, self.depth):
+            chosen = mix(node[:, None] ^ s[None, :]) <= limit(len(s) - level)
             np.put_along_axis(chosen, used, False, axis=1)
             parent, at = np.nonzero(chosen)
             child = mix(mix(node[parent] ^ s[at]) + np.uint64(1))
@@ -315,23 +329,84 @@ def _candidates(sets: DataFrame, root: str, similarity: float, depth: int) -> Da
         if rest is None:
             return edges
         if level + 1 < depth:
+            ended = rest.where("octet_length(p) = 0")
+            edges = edges.union(written(_in_blocks(ended, similarity), f"{root}/ended-{level}"))
             rows = written(_children(rest), f"{root}/rows-{level + 1}")
-    # blocks of about SMALL / 2 sets, each with each other and with itself
+    return edges.union(written(_in_blocks(rest, similarity), f"{root}/found-blocks"))
+
+
+def _in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
+    """Stars of large buckets (with ``count``): blocks of about SMALL / 2 sets, each with each other and with itself."""
     rest = rest.withColumn("g", F.ceil(F.col("count") / F.lit(SMALL // 2)).cast("int")).withColumn("b", F.expr("cast(pmod(xxhash64(r), g) as int)"))
     rest = rest.withColumn("o", F.explode(F.expr("sequence(0, g - 1)"))).withColumn("k", F.expr("xxhash64(k, least(b, o), greatest(b, o))"))
-    return edges.union(written(_compare(rest, similarity).distinct(), f"{root}/found-blocks"))
+    return _compare(rest, similarity).distinct()
 
 
-def _exact(members: DataFrame, similarity: float, n: int) -> DataFrame:
-    """r, links, first (edge to the first set of the same part): for each task key."""
+def _members(where: DataFrame, n: int) -> DataFrame:
+    """r, c, count, s: the set of each member's text."""
 
     def run(batches):
         import pyarrow as pa
 
         shingles = Shingler(n)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([shingles(t).tobytes() for t in b.column(3).to_pylist()], pa.binary())], names=["r", "c", "count", "s"])
+
+    return where.select("r", "c", "count", "t").mapInArrow(run, "r bigint, c bigint, count bigint, s binary")
+
+
+def _rings(large: DataFrame, root: str, similarity: float) -> DataFrame:
+    """Members of large components with ring ``q`` and whether they are links of the pivot (``near``)."""
+    # the pivot's set goes to a task for every 16 blocks of members
+    parts = F.ceil(F.col("count") / F.lit(16 * BLOCK)).cast("int")
+    pivots = large.where("r = c").select("c", F.col("s").alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("z"))
+    rows = large.withColumn("z", F.pmod(F.xxhash64("r"), parts).cast("int")).join(pivots.hint("merge"), ["c", "z"]).select("r", "c", "s", "p")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            q, near = [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - common
+                q.append(min(RINGS - 1, (union - common) * RINGS // union))
+                near.append(common >= similarity * union - 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(q, pa.int32()), pa.array(near, pa.bool_())], names=["r", "c", "s", "q", "near"])
+
+    return written(rows.mapInArrow(run, "r bigint, c bigint, s binary, q int, near boolean"), f"{root}/rings")
+
+
+def _compared(members: DataFrame, root: str, similarity: float) -> DataFrame:
+    """r, links, first: parts of the links of members, and edges of a forest of them."""
+    small = members.where(f"count <= {BLOCK}").select(F.col("c").alias("k"), F.lit(0).cast("bigint").alias("b"), "r", F.lit(True).alias("own"), "s")
+    large = members.where(f"count > {BLOCK}")
+    if large.isEmpty():
+        return _exact(small, similarity)
+    rows = _rings(large, root, similarity)
+    # rings q and w (of width 1 / RINGS): all pairs are links, or none is, or they are compared
+    reach = int((1 - similarity) * RINGS * (1 - 1e-9))
+    rings = rows.groupBy("c", "q").agg(F.count(F.lit(1)).alias("m")).withColumn("g", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    per = rings.groupBy("c").agg(F.collect_list(F.struct("q", "m", "g")).alias("a")).select("c", "a", F.explode("a").alias("x")).select("c", "x.q", "x.g", "a")
+    sure = per.select("c", "q", "g", F.expr(f"aggregate(filter(a, y -> y.q + q + 2 <= {reach}), 0L, (n, y) -> n + y.m) - if(2 * q + 2 <= {reach}, 1, 0)").alias("sure"))
+    rows = written(rows.join(sure, ["c", "q"]).withColumn("j", F.expr("cast(pmod(xxhash64(r, 1), g) as int)")), f"{root}/ring-blocks")
+    open_ = F.expr(f"flatten(transform(filter(a, y -> y.q + q + 2 > {reach} and abs(y.q - q) - 1 <= {reach}), y -> transform(sequence(0, y.g - 1), i -> y.q * 4294967296L + i)))")
+    blocks = per.withColumn("o", open_).select("c", "q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"), "o").withColumn("o", F.explode("o"))
+    pairs = rows.select("c", "q", "j", "r", "s").join(blocks, ["c", "q", "j"]).withColumn("b", F.expr("q * 4294967296L + j"))
+    pairs = pairs.select(F.expr("xxhash64(c, least(b, o), greatest(b, o))").alias("k"), "b", "r", F.expr("b = o").alias("own"), "s")
+    settled = rows.select("r", F.col("sure").alias("links"), F.expr("if(near, c, r)").alias("first"))
+    return _exact(small.union(pairs), similarity).union(settled)
+
+
+def _exact(members: DataFrame, similarity: float) -> DataFrame:
+    """r, links, first (edge to the first set of the same part): for each task key."""
+
+    def run(batches):
+        import pyarrow as pa
 
         def done(held):
-            ids, block, sets = np.array([x[2] for x in held]), np.array([x[1] for x in held]), [shingles(x[4]) for x in held]
+            ids, block, sets = np.array([x[2] for x in held]), np.array([x[1] for x in held]), [np.frombuffer(x[4], np.uint64) for x in held]
             # of one block: all pairs; of two (the first of which stands first): pairs across only
             one = held[0][3]
             first = len(ids) if one else int((block == block[0]).sum())
@@ -366,7 +441,7 @@ def _exact(members: DataFrame, similarity: float, n: int) -> DataFrame:
             yield done(held)
 
     parts = shuffle_partitions(members.sparkSession)
-    return members.select("k", "b", "r", (F.col("b") == F.col("o")).alias("own"), "t").repartition(parts, "k").sortWithinPartitions("k", "b", "r").mapInArrow(run, "r bigint, links bigint, first bigint")
+    return members.select("k", "b", "r", "own", "s").repartition(parts, "k").sortWithinPartitions("k", "b", "r").mapInArrow(run, "r bigint, links bigint, first bigint")
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH, n: int = N, id_col: str = "doc_id", text_col: str = "text", bare_scan: bool = False) -> DataFrame:
@@ -381,7 +456,8 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     Words are runs of digits, letters (A-Z as a-z) and characters beyond ASCII.
     Null and empty texts and texts without words are alone in their class, as
     are rows with a null id (their ``class_id`` is null) unless others join
-    them. Repeated rows are documents of their own.
+    them. Very long texts are one set each. Repeated rows are documents of their
+    own; other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     root = shared_dir(spark, "jaccard")
@@ -397,11 +473,13 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     first = with_words.join(groups.select(F.col("rep").alias("r")).hint("merge"), "r", "left_semi")
     edges = _candidates(first, root, similarity, depth)
     parts = components(edges, f"{root}/candidates")
-    size = parts.groupBy("c").count().select("c", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("g"))
-    where = parts.join(size, "c").select(F.col("v").alias("r"), "c", "g", F.expr("cast(pmod(xxhash64(v), g) as int)").alias("b"))
-    members = where.hint("merge").join(texts.select("r", "t"), "r")
-    members = members.withColumn("o", F.explode(F.expr("sequence(0, g - 1)"))).withColumn("k", F.expr("xxhash64(c, least(b, o), greatest(b, o))"))
-    links = written(_exact(members, similarity, n), f"{root}/links")
+    for name in [f"{x}-{k}" for x in ("large", "found", "ended", "rows") for k in range(depth)] + ["found-blocks"]:
+        removed(spark, f"{root}/{name}")
+    where = parts.join(parts.groupBy("c").count(), "c").select(F.col("v").alias("r"), "c", "count")
+    members = written(_members(where.hint("merge").join(texts.select("r", "t"), "r"), n), f"{root}/members")
+    links = written(_compared(members, root, similarity), f"{root}/links")
+    for name in ("candidates", "members", "rings", "ring-blocks"):
+        removed(spark, f"{root}/{name}")
     count = links.groupBy("r").agg(F.sum("links").alias("links"))
     cls = components(links.where("r <> first").select(F.col("r").alias("u"), F.col("first").alias("v")), f"{root}/classes")
     rep = groups.join(count.withColumnRenamed("r", "rep"), "rep", "left").join(cls.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))

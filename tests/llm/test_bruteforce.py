@@ -84,6 +84,60 @@ def test_jaccard_splits_large_buckets(spark, tmp_path, monkeypatch):
     assert run_similar(spark.read.parquet(path)) == classes(rows)
 
 
+def _pairs_near_the_threshold(n, size, rnd):
+    """Texts that all share 55 % of their words in one passage, so buckets split down
+    to the last level, in pairs of similarity 0.80 to 0.85."""
+    rows = []
+    for i in range(n):
+        own = [f"p{i}x{rnd.randrange(10**9)}" for _ in range(size)]
+        a = [f"s{j}" if j < 0.55 * size else own[j] for j in range(size)]
+        b = list(a)
+        # k changed words near the end, next to each other: k + 4 other shingles of size - 4
+        k = rnd.randint(int(size * 0.085), int(size * 0.105)) - 4
+        for j in range(size - 5 - k, size - 5):
+            b[j] = f"z{i}x{j}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    return rows
+
+
+def test_recall_end_to_end(spark, tmp_path, monkeypatch):
+    """Links of similarity 0.80 to 0.85 below buckets that are split at every level: at least 0.9 are found."""
+    from palisade.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "SMALL", 32)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rows = _pairs_near_the_threshold(300, 200, random.Random(2)) + [(1000 + 2 * i + k, " ".join(f"t{i % 40} u v w".split() + [f"q{i} r{i} o{i} e{i} f{i}"])) for i in range(100) for k in range(2)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(path)
+    got = run_similar(spark.read.parquet(path))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    near = [i for i in range(300) if 0.8 <= len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) <= 0.86]
+    found = sum(got[2 * i][:2] == (2 * i, 1) and got[2 * i + 1][:2] == (2 * i, 1) for i in near)
+    print(f"recall {found / len(near):.3f} of {len(near)} links")
+    assert len(near) > 200 and found >= 0.9 * len(near)
+    assert all(got[1000 + 2 * i + 1][0] == 1000 + 2 * i for i in range(100))
+
+
+def test_one_large_component(spark, tmp_path, monkeypatch):
+    """Rings around the pivot settle or leave what is compared: classes and links as by all pairs."""
+    from palisade.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        a = rnd.randrange(100)
+        for j in range(a, a + rnd.choice([0, 1, 3, 8, 15])):
+            w[j] = f"c{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, " ".join(["m n o p q"] * (3 + i % 3))) for i in range(6)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(path)
+    assert run_similar(spark.read.parquet(path)) == classes(rows)
+
+
 def test_runs_reach_the_recall():
     from palisade.llm import jaccard_join as J
 
