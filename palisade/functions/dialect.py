@@ -51,8 +51,10 @@ def _sure_word(pattern: str, at: int, ahead: bool) -> bool:
     return bool(m) and not re.search(r"\\[bsBSD]$", before)
 
 
-def java(pattern: str, ignore_case: bool = False, unicode_case: bool = False, first: str = "") -> str:
-    """For Spark's functions. ``first``: a class that matches begin with, looked at before all else. One-sided looks replace a boundary whose other side is sure."""
+def java(pattern: str, ignore_case: bool = False, unicode_case: bool = False, first: str = "", one_sided: bool = True) -> str:
+    """For Spark's functions. ``first``: a class that matches begin with, looked at
+    before all else. ``one_sided``: a look to one side replaces a boundary whose other
+    side is sure, as far as the first branch of a group tells (catalogue patterns)."""
     out, at = [], 0
     for atom, inside in _atoms(pattern):
         at += len(atom)
@@ -61,14 +63,18 @@ def java(pattern: str, ignore_case: bool = False, unicode_case: bool = False, fi
         elif atom == "\\S" and not inside:
             out.append(f"[^{SPACE_JAVA}]")
         elif atom == "\\b" and not inside:
-            if _sure_word(pattern, at, True):
+            if one_sided and _sure_word(pattern, at, True):
                 out.append(f"(?<!{_WORD})")
-            elif _sure_word(pattern, at - 2, False):
+            elif one_sided and _sure_word(pattern, at - 2, False):
                 out.append(f"(?!{_WORD})")
             else:
                 out.append(_BOUNDARY)
         elif atom == "\\B" and not inside:
             out.append(_NO_BOUNDARY)
+        elif not one_sided and not inside and atom == "$":
+            out.append("\\z")
+        elif not one_sided and not inside and atom == ".":
+            out.append("[^\\n\\r\\u2028\\u2029]")
         elif inside and atom in "[&":
             out.append("\\" + atom)
         else:
@@ -76,6 +82,13 @@ def java(pattern: str, ignore_case: bool = False, unicode_case: bool = False, fi
     return ("(?iu)" if unicode_case else "(?i)" if ignore_case else "") + (f"(?={first})" if first else "") + "".join(out)
 
 
+def python(pattern: str):
+    """A user's pattern for Python's side of a stream, from the same translation."""
+    import regex
+
+    return regex.compile(java(pattern, one_sided=False).replace("\\z", "\\Z"), regex.ASCII)
+
+
 def re2(pattern: str, ignore_case: bool = False) -> str:
     """For DuckDB. Patterns must have no looks behind."""
     if "(?<" in pattern or "(?!" in pattern or "(?=" in pattern:
@@ -99,11 +112,25 @@ def escape(text: str) -> str:
     return re.sub(r"([\\^$.|?*+()\[\]{}/-])", r"\\\1", text).replace("\\-", "-").replace("\\/", "/")
 
 
-def check(pattern: str) -> str:
-    """A user's pattern, or ValueError: it must compile and not match the empty text."""
+def compiled(pattern: str):
+    """A user's pattern as java.util.regex.Pattern: the form that Spark's functions use."""
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    jvm = SparkContext.getOrCreate()._jvm
     try:
-        if re.search(pattern, "") is not None:
-            raise ValueError(f"pattern matches the empty text: {pattern}")
-    except re.error as e:
-        raise ValueError(f"bad pattern {pattern!r}: {e}") from e
+        return jvm.java.util.regex.Pattern.compile(java(pattern, one_sided=False))
+    except IllegalArgumentException as e:
+        raise ValueError(f"bad pattern {pattern!r}: {str(e).splitlines()[0]}") from None
+
+
+def check(pattern: str) -> str:
+    """A user's pattern, or ValueError: Java must compile it and it must not match the empty text."""
+    if compiled(pattern).matcher("").find():
+        raise ValueError(f"pattern matches the empty text: {pattern}")
     return pattern
+
+
+def user(pattern: str) -> str:
+    """A user's pattern, checked, for Spark's functions."""
+    return java(check(pattern), one_sided=False)

@@ -39,7 +39,24 @@ def test_all_catalogue_patterns_compile(spark):
     assert len([p for p in C.PII if set(p.locales) & set(C.DEFAULT_LOCALES)]) == 15
 
 
-def test_escape_and_check():
+USER = [
+    (r"\b(a|,b)", "x,b a", [",b", "a"]),
+    (r"(?<n>a|b)\B.", "ab b. bc", ["ab", "bc"]),
+    (r"o.$", "on\non\n", []),
+    (r"o.$", "on\non", ["on"]),
+    (r"a.b", "a\u0085b a\u2028b", ["a\u0085b"]),
+]
+
+
+@pytest.mark.parametrize("pattern,text,want", USER)
+def test_user_patterns(spark, pattern, text, want):
+    """Any pattern of a user: the same matches in Spark and in a stream's state."""
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.regexp_extract_all("t", F.lit(D.user(pattern)), 0)).first()[0] == want
+    assert [m.group() for m in D.python(pattern).finditer(text)] == want
+
+
+def test_escape_and_check(spark):
     import re
 
     for s in ("a.b", "c++", "[x]", "$5 (or) {y}|z^", "a-b/c"):
