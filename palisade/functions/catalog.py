@@ -97,6 +97,14 @@ INJECTIONS = (
     Injection("behavior_change", 0.35, (r"\bfrom now on\b", r"\bnew instructions?\b", r"\bfrom this (point|moment) (on|forward|onward)\b", r"\bstarting now\b")),
 )
 
+#: Lower-case literals that a text with a match has, in the order of the patterns: one of each group.
+INJECTION_GATES = (
+    (("ignore", "disregard", "forget", "override"),), (("prompt", "instruction"),), (("above",),), (("what is your", "what are your"),),
+    (("you are ",),), (("do anything now",),), (("act as",),), (("developer mode",),), (("pretend",),), (("jailbreak",),),
+    (("##",),), (("<|im_start|>",),), (("<|im_end|>",),), (("inst]",),), (("<<sys>>",),),
+    (("from now on",),), (("new instruction",),), (("from this ",),), (("starting now",),),
+)
+
 #: Inside of a class, for each category.
 INVISIBLE = {
     "zero_width": r"\x{200b}-\x{200d}\x{feff}\x{2060}",
@@ -154,6 +162,14 @@ CODE = (
     ("filesystem", r"\bshutil\.rmtree\s*\(", True),
 )
 
+#: As INJECTION_GATES, for CODE.
+CODE_GATES = (
+    (("rm",), ("-r", "-f")), (("rm",), ("-",), ("/",)), (("chmod",),), (("curl",), ("|",)), (("wget",), ("|",)), (("mkfs",),), (("if=",),),
+    (("drop",),), (("truncate",),), (("delete",), ("from",), (";",)), ((";",), ("--",)),
+    (("eval",),), (("exec",),), (("os.system",),), (("subprocess.",),), (("getruntime",),), (("process.start",),), (("function",),),
+    ((".delete",),), (("unlink",),), (("shutil.rmtree",),),
+)
+
 TOKEN = r"\w+|[^\w\s]+"
 CONTENT_WORD = r"[a-zA-Z'\x{c0}-\x{24f}]+"
 

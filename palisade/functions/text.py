@@ -94,6 +94,17 @@ def hash_digits(t: Column) -> Column:
     return F.lpad(F.lower(F.hex(fnv1a32(t) % F.lit(16777216).cast("bigint"))), 6, "0")
 
 
+def has(low: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a text has one literal of each group."""
+    out = F.lit(True)
+    for group in groups:
+        any_ = F.lit(False)
+        for literal in group:
+            any_ = any_ | low.contains(literal)
+        out = out & any_
+    return out
+
+
 def digit_skeleton(t: Column) -> Column:
     """The runs of digits of a text, with an x for each run of anything else:
     short for prose, so that what a pattern needs of digits is tested on little."""

@@ -7,6 +7,7 @@ A null text gives a clean result with a null text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -141,35 +142,34 @@ def scan_secret(t: Column, action: str = "block") -> Column:
 # prompt injection
 
 
-def injection_score(t: Column) -> Column:
+def injection_score(found: Column) -> Column:
+    """The sum of the weights of the signals that have a span, 1 at most."""
     total = F.lit(0.0)
     for g in C.INJECTIONS:
-        fired = F.lit(False)
-        for p in g.patterns:
-            fired = fired | F.rlike(t, F.lit(D.java(p, True)))
-        total = total + F.when(fired, F.lit(g.weight)).otherwise(F.lit(0.0))
+        total = total + F.when(_has_type(found, f"injection.{g.name}"), F.lit(g.weight)).otherwise(F.lit(0.0))
     return F.least(F.lit(1.0), total)
 
 
 def scan_injection(t: Column, action: str = "block", threshold: float = 0.5) -> Column:
     _action(action)
-    name = "prompt_injection"
+    name, limit = "prompt_injection", f"{threshold:.2f}"
     groups = [(g, [D.java(p, True) for p in g.patterns]) for g in C.INJECTIONS]
-    found = F.concat(*[T.spans(t, p, f"injection.{g.name}", g.weight) for g, ps in groups for p in ps])
+    flat = [(g, p) for g, ps in groups for p in ps]
+    found = T.let(F.lower(t), lambda low: F.concat(*[T.spans(t, p, f"injection.{g.name}", g.weight, gate=T.has(low, need)) for (g, p), need in zip(flat, C.INJECTION_GATES)]))
 
     def body(f: Column) -> Column:
-        hits, score = T.utf16(t, f), injection_score(t)
-        kinds = _types(f)
+        hits, score = T.utf16(t, f), injection_score(f)
+
+        def judged(s: Column) -> Column:
+            over = F.format_string(f"prompt injection score %.2f >= threshold {limit}; signals: %s", s, _types(f, "injection."))
+            under = F.format_string(f"below threshold (%.2f < {limit})", s)
+            return F.when(s >= F.lit(float(threshold)), T.result(name, False, s, t, hits, over)).otherwise(T.result(name, True, s, t, hits, under))
+
         if action == "block":
-            return T.let(
-                score,
-                lambda s: F.when(s >= F.lit(float(threshold)), T.result(name, False, s, t, hits, F.concat(F.lit("blocked: "), kinds))).otherwise(
-                    T.result(name, True, s, t, hits, F.concat(F.lit("below threshold ("), s.cast("string"), F.lit(f" < {float(threshold)})")))
-                ),
-            )
+            return T.let(score, judged)
         if action == "warn":
             return T.result(name, True, score, t, hits, None)
-        fired = [F.when(_has_type(f, f"injection.{g.name}"), F.lit(p)) for g, ps in groups for p in ps]
+        fired = [F.when(_has_type(f, f"injection.{g.name}"), F.lit(p)) for g, p in flat]
         word = "redacted" if action == "redact" else "hashed"
         return T.result(name, True, score, _rewritten(t, F.array_compact(F.array(*fired)), action, "INJECTION"), hits, _number(F.size(f), f"{word} %d injection span(s)"))
 
@@ -212,33 +212,46 @@ def topic_regex(topic: str, case_sensitive: bool = False) -> str:
     return D.java(rf"\b{D.escape(topic)}\b", unicode_case=not case_sensitive)
 
 
+def _topic_gate(t: Column, low: Column, topic: str) -> Column | None:
+    """A cheap test that texts with the topic pass. Three letters beyond ASCII are
+    the same as ASCII ones when case doesn't count, but not in lower case."""
+    if not topic.isascii():
+        return None
+    out = low.contains(topic.lower())
+    for c in "\u017f\u0131\u0130":
+        out = out | t.contains(c)
+    return out
+
+
 def scan_topic(t: Column, topics: list[str], action: str = "block", case_sensitive: bool = False) -> Column:
     _action(action)
     name = "banned_topic"
     patterns = [topic_regex(x, case_sensitive) for x in topics]
     if not topics:
         return T.clean(name, t)
-    found = F.concat(*[T.spans(t, p, f"topic.{x}") for x, p in zip(topics, patterns)])
+    found = T.let(F.lower(t), lambda low: F.concat(*[T.spans(t, p, f"topic.{x}", gate=_topic_gate(t, low, x)) for x, p in zip(topics, patterns)]))
 
     def body(f: Column) -> Column:
-        hits, kinds = T.utf16(t, f), F.concat(F.lit("banned topic(s): "), _types(f, "topic."))
+        hits = T.utf16(t, f)
         if action == "block":
-            return T.result(name, False, 1.0, t, hits, kinds)
+            return T.result(name, False, 1.0, t, hits, F.concat(F.lit("banned topic(s): "), _types(f, "topic.")))
         if action == "warn":
             return T.result(name, True, 0.5, t, hits, None)
-        return T.result(name, True, 0.5, _rewritten(t, patterns, action, "TOPIC"), hits, F.concat(F.lit("redacted " if action == "redact" else "hashed "), kinds))
+        word = "redacted" if action == "redact" else "hashed"
+        return T.result(name, True, 0.5, _rewritten(t, patterns, action, "TOPIC"), hits, _number(F.size(f), f"{word} %d topic match(es)"))
 
     return _given(t, name, found, body)
 
 
 def scan_pattern(t: Column, patterns: list[str], action: str = "block", name: str = "banned_pattern", literal: bool = False) -> Column:
     _action(action)
-    regexes = [D.java(D.escape(p)) if literal else D.java(D.check(p)) for p in patterns]
+    regexes = [D.java(D.escape(p)) if literal else D.user(p) for p in patterns]
     if not regexes:
         return T.clean(name, t)
-    found = F.transform(
-        F.array_sort(F.transform(F.concat(*[T.spans(t, p, "banned_pattern.match", 1.0, k) for k, p in enumerate(regexes)]), lambda s: s.withField("neg", F.lit(0)))), lambda s: s
-    )
+    gates = [t.contains(p) if literal else None for p in patterns]
+    found = F.concat(*[T.spans(t, p, "banned_pattern.match", 1.0, k, gate) for k, (p, gate) in enumerate(zip(regexes, gates))])
+    # by start, then by pattern
+    found = F.array_sort(F.transform(found, lambda s: s.withField("neg", F.lit(0))))
 
     def body(f: Column) -> Column:
         hits, n = T.utf16(t, f), F.size(f)
@@ -279,6 +292,11 @@ def _finding(type_: str, match: Column, confidence: Column) -> Column:
     return F.struct(F.lit(type_).alias("type"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), match.alias("match"), confidence.cast("double").alias("confidence"))
 
 
+def _percent(x: float) -> str:
+    """A share in whole per cent, halves up."""
+    return str(math.floor(x * 100 + 0.5))
+
+
 def ngrams(t: Column, n: int) -> Column:
     """The runs of ``n`` words, each joined by a space; words at the ends may be empty."""
 
@@ -293,22 +311,31 @@ def scan_repetition(t: Column, ngram_size: int = 3, threshold: float = 0.3, acti
     _action(action)
     name = "repetition"
 
+    def top(g: Column) -> Column:
+        """The five most frequent grams that come twice or more: runs in sorted order."""
+
+        def runs(v: Column) -> Column:
+            begins = F.filter(F.transform(v, lambda y, i: F.when((i == 0) | (y["v"] != F.get(v, i - 1)["v"]), i)), lambda i: i.isNotNull())
+
+            def counted(b: Column) -> Column:
+                return F.transform(b, lambda at, j: F.struct((at - F.coalesce(F.get(b, j + 1), F.size(v))).alias("c"), F.get(v, at)["i"].alias("i"), F.get(v, at)["v"].alias("v")))
+
+            return F.slice(F.array_sort(F.filter(T.let(begins, counted), lambda r: r["c"] < -1)), 1, 5)
+
+        return T.let(F.array_sort(F.transform(g, lambda y, i: F.struct(y.alias("v"), i.alias("i")))), runs)
+
     def body(x: Column) -> Column:
-        g, u = x["g"], x["u"]
-        n = F.size(g)
-        score = F.lit(1.0) - F.size(u) / n.cast("double")
+        g, n = x["g"], F.size(x["g"])
+        score = F.lit(1.0) - x["u"] / n.cast("double")
 
         def flagged(s: Column) -> Column:
-            # runs of equal grams in sorted order: count, place of the first
-            ranked = F.transform(F.filter(F.transform(u, lambda v, i: F.struct((-F.size(F.filter(g, lambda y: y == v))).alias("c"), i.alias("i"), v.alias("v"))), lambda r: r["c"] < -1), lambda r: r)
-            top = F.slice(F.array_sort(ranked), 1, 5)
-            hits = F.transform(top, lambda r: _finding("repetition.ngram", r["v"], (-r["c"]) / n.cast("double")))
-            reason = F.format_string(f"%.0f%% repetition (threshold {threshold * 100:.0f}%%)", s * 100)
+            hits = F.transform(top(g), lambda r: _finding("repetition.ngram", r["v"], (-r["c"]) / n.cast("double")))
+            reason = F.format_string(f"%.0f%% repetition (threshold {_percent(threshold)}%%)", s * 100)
             return F.when(s < F.lit(float(threshold)), T.clean(name, t)).otherwise(T.result(name, action == "warn", s, t, hits, reason))
 
         return F.when(n < 2, T.clean(name, t)).otherwise(T.let(score, flagged))
 
-    return T.let(T.let(ngrams(t, ngram_size), lambda g: F.struct(g.alias("g"), F.array_distinct(g).alias("u"))), body)
+    return T.let(T.let(ngrams(t, ngram_size), lambda g: F.struct(g.alias("g"), F.size(F.array_distinct(g)).alias("u"))), body)
 
 
 # URLs
@@ -347,41 +374,44 @@ def scan_url(t: Column, action: str = "block", categories=C.URL_CATEGORIES) -> C
 # scripts
 
 
-def script_counts(t: Column) -> Column:
-    """array<struct<n (negative), first, name>> of the scripts in a text."""
-    return F.array(
-        *[
-            F.struct((-F.regexp_count(t, F.lit(f"[{c}]"))).alias("n"), F.length(F.regexp_extract(t, f"^[^{c}]*", 0)).alias("first"), F.lit(k).alias("name"))
-            for k, c in C.SCRIPTS.items()
-        ]
-    )
+def _of_scripts(t: Column, scripts) -> Column:
+    """The characters of ``t`` that belong to the scripts, in order."""
+    return F.regexp_replace(t, F.lit("[^" + "".join(C.SCRIPTS[k] for k in scripts) + "]+"), F.lit(""))
 
 
 def scan_language(t: Column, action: str = "block", expected=("latin",), threshold: float = 0.7) -> Column:
+    """Scripts are counted on what is left of a text when all that isn't theirs is
+    taken out: short for what isn't expected."""
     _action(action)
     if set(expected) - set(C.SCRIPTS):
         raise ValueError("unknown script")
     name = "language"
+    others = [k for k in C.SCRIPTS if k not in expected]
+    own = F.length(_of_scripts(t, expected)) if expected else F.lit(0)
 
-    def body(s: Column) -> Column:
-        total = F.aggregate(s, F.lit(0), lambda a, x: a - x["n"])
-        own = F.aggregate(F.filter(s, lambda x: x["name"].isin(*expected)), F.lit(0), lambda a, x: a - x["n"])
+    def counts(x: Column) -> Column:
+        """array<struct<n (negative), first, name>>"""
+        one = [F.struct((-F.regexp_count(x, F.lit(f"[{C.SCRIPTS[k]}]"))).alias("n"), F.length(F.regexp_extract(x, f"^[^{C.SCRIPTS[k]}]*", 0)).alias("first"), F.lit(k).alias("name")) for k in others]
+        return F.struct(own.alias("own"), F.length(x).alias("rest"), F.array(*one).alias("s"))
 
-        def judged(v: Column) -> Column:
-            ratio = v["own"] / v["total"].cast("double")
-            others = F.slice(F.array_sort(F.filter(s, lambda x: (x["n"] < 0) & ~x["name"].isin(*expected))), 1, 3)
-            hits = F.transform(others, lambda x: _finding("language.unexpected_script", x["name"], (-x["n"]) / v["total"].cast("double")))
-            names = F.array_join(F.transform(others, lambda x: x["name"]), ", ")
-            bad = T.result(name, action == "warn", F.lit(1.0) - ratio, t, hits, F.concat(F.lit("unexpected script: "), names))
-            return F.when((v["total"] < 10) | (ratio >= F.lit(float(threshold))), T.clean(name, t)).otherwise(bad)
+    def body(v: Column) -> Column:
+        total = (v["own"] + v["rest"]).cast("double")
 
-        return T.let(F.struct(total.alias("total"), own.alias("own")), judged)
+        def judged(ratio: Column) -> Column:
+            top = F.slice(F.array_sort(F.filter(v["s"], lambda x: x["n"] < 0)), 1, 3)
+            hits = F.transform(top, lambda x: _finding("language.unexpected_script", x["name"], (-x["n"]) / total))
+            reason = F.format_string(f"%.0f%% expected script (threshold {_percent(threshold)}%%)", ratio * 100)
+            bad = T.result(name, action == "warn", F.lit(1.0) - ratio, t, hits, reason)
+            return F.when((total < 10) | (ratio >= F.lit(float(threshold))), T.clean(name, t)).otherwise(bad)
+
+        return T.let(F.when(total > 0, v["own"] / total).otherwise(F.lit(1.0)), judged)
 
-    # most texts are of the expected scripts alone: one look decides
-    others = "".join(c for k, c in C.SCRIPTS.items() if k not in expected)
     if not others or threshold > 1:
-        return T.let(script_counts(t), body)
-    return F.when(F.rlike(t, F.lit(f"[{others}]")), T.let(script_counts(t), body)).otherwise(T.clean(name, t))
+        rest = _of_scripts(t, others) if others else F.lit("")
+        return F.when(t.isNull(), T.clean(name, t)).otherwise(T.let(T.let(rest, counts) if others else F.struct(own.alias("own"), F.lit(0).alias("rest"), F.array().cast("array<struct<n:int,first:int,name:string>>").alias("s")), body))
+    # most texts are of the expected scripts alone: one look decides
+    some = F.rlike(t, F.lit("[" + "".join(C.SCRIPTS[k] for k in others) + "]"))
+    return F.when(some, T.let(T.let(_of_scripts(t, others), counts), body)).otherwise(T.clean(name, t))
 
 
 # code
@@ -390,10 +420,12 @@ def scan_language(t: Column, action: str = "block", expected=("latin",), thresho
 def scan_code(t: Column, action: str = "block", categories=("shell", "sql", "injection", "filesystem")) -> Column:
     _action(action)
     name = "code_exec"
-    parts = [T.spans(t, D.java(p, ci), f"code_exec.{c}", 1.0, k) for k, (c, p, ci) in enumerate(C.CODE) if c in categories]
-    if not parts:
+    if not set(categories) & {c for c, _, _ in C.CODE}:
         return T.clean(name, t)
 
+    def parts(low: Column) -> Column:
+        return F.concat(*[T.spans(t, D.java(p, ci), f"code_exec.{c}", 1.0, k, T.has(low, need)) for k, ((c, p, ci), need) in enumerate(zip(C.CODE, C.CODE_GATES)) if c in categories])
+
     def body(f: Column) -> Column:
         hits = T.utf16(t, f)
         if action == "warn":
@@ -401,7 +433,7 @@ def scan_code(t: Column, action: str = "block", categories=("shell", "sql", "inj
             return T.result(name, True, 1.0, t, hits, F.concat(F.lit("dangerous code detected: "), seen))
         return T.result(name, False, 1.0, t, hits, "blocked: code_exec")
 
-    return _given(t, name, F.concat(*parts), body)
+    return _given(t, name, T.let(F.lower(t), parts), body)
 
 
 # grounding
@@ -425,7 +457,7 @@ def scan_grounding(t: Column, context: Column | str = "", threshold: float = 0.5
 
         def judged(r: Column) -> Column:
             hits = F.transform(F.slice(missing, 1, 10), lambda m: _finding("grounding.unsupported_claim", m, F.lit(1.0) - r))
-            reason = F.format_string("%d of %d content words are not in the source", F.size(missing), F.size(w))
+            reason = F.format_string(f"%.0f%% grounded (threshold {_percent(threshold)}%%)", r * 100)
             return F.when(r >= F.lit(float(threshold)), T.clean(name, t)).otherwise(T.result(name, action == "warn", F.lit(1.0) - r, t, hits, reason))
 
         return F.when(F.size(w) < 3, T.clean(name, t)).otherwise(T.let(ratio, judged))
@@ -459,22 +491,24 @@ def scan_schema(t: Column, schema: dict, action: str = "block") -> Column:
         return F.struct(F.lit(type_).alias("type"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(key).cast("string").alias("match"), F.lit(1.0).alias("confidence"), F.lit(message).alias("m"))
 
     # the parser takes text after the value: a mark behind it must come out as the second element
-    mark = F.sha2(t, 256)
-    doc = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), mark, F.lit('"]')))
+    def parsed(mark: Column) -> Column:
+        return T.let(F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), mark, F.lit('"]'))), lambda x: checked(x, mark))
+
+    def checked(x: Column, mark: Column) -> Column:
+        return T.let(F.try_variant_get(x, "$[0]", "variant"), lambda v: violations(x, mark, v))
 
-    def checked(x: Column) -> Column:
-        v = F.try_variant_get(x, "$[0]", "variant")
+    def violations(x: Column, mark: Column, v: Column) -> Column:
         whole = F.coalesce((F.try_variant_get(x, "$[1]", "string") == mark) & F.try_variant_get(x, "$[2]", "variant").isNull() & v.isNotNull(), F.lit(False))
         is_object = _kind_ok(v, "object")
         found = []
         if schema.get("type"):
-            found.append(F.when(~_kind_ok(v, schema["type"]), one("schema.type", None, f"expected type {schema['type']}")))
+            found.append(F.when(~_kind_ok(v, schema["type"]), one("schema.type", None, f'expected type "{schema["type"]}"')))
         for k in schema.get("required") or ():
-            found.append(F.when(is_object & F.try_variant_get(v, _path(k), "variant").isNull(), one("schema.required", k, f"missing required key {k}")))
+            found.append(F.when(is_object & F.try_variant_get(v, _path(k), "variant").isNull(), one("schema.required", k, f'missing required key "{k}"')))
         for k, spec in (schema.get("properties") or {}).items():
             if spec.get("type"):
                 p = F.try_variant_get(v, _path(k), "variant")
-                found.append(F.when(is_object & p.isNotNull() & ~_kind_ok(p, spec["type"]), one("schema.property", k, f"property {k} is not {spec['type']}")))
+                found.append(F.when(is_object & p.isNotNull() & ~_kind_ok(p, spec["type"]), one("schema.property", k, f'property "{k}" must be "{spec["type"]}"')))
         bad = F.array_compact(F.array(*found)) if found else F.array(one("", None, "")).cast("array<struct<type:string,start:int,end:int,match:string,confidence:double,m:string>>")
         bad = bad if found else F.filter(bad, lambda s: F.lit(False))
         return F.when(whole, bad).otherwise(F.array(one("schema.parse", None, "invalid JSON")))
@@ -484,4 +518,4 @@ def scan_schema(t: Column, schema: dict, action: str = "block") -> Column:
         hits = F.transform(f, lambda s: F.struct(s["type"], s["start"], s["end"], s["match"], s["confidence"]))
         return T.result(name, action == "warn", 0.5 if action == "warn" else 1.0, t, hits, reason)
 
-    return _given(t, name, T.let(doc, checked), body)
+    return _given(t, name, T.let(F.hex(F.xxhash64(t)), parsed), body)
