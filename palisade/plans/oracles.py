@@ -33,6 +33,9 @@ FRAGMENTS = {
 }
 TOPICS = ["drugs", "edor"]
 PATTERNS = ["ti+on", "dr[aeiou]gs"]
+#: Boundaries beside groups, branches that begin with other characters than words, a named group; and the same for RE2.
+ALTERNATIVES = [r"\b(e|,)\s?d", r"(?<kind>drug|edo)\B(s|r)\b", "more .$"]
+ALTERNATIVES_RE2 = [r"(?:\be|\b,)\s?d", r"(?:drugs|edor)\b", r"more [^\n\r]\z"]
 CONFIG = {
     "input": [
         {"type": "invisible_text", "action": "redact"},
@@ -94,13 +97,23 @@ def _token(label: str, match: str) -> str:
     return f"'[' || {label} || ':' || format('{{:06x}}', {fnv(match)} % 16777216) || ']'"
 
 
-def digest(source: str, found: str, order: str, hit: dict, match: str = "m", text: str = "t") -> str:
-    """``found`` gives spans; rows with any have ``hit``'s passed and score."""
+def finding(type_: str, start: str, end: str, confidence: str, match: str) -> str:
+    return f"{type_} || '@' || {start} || ':' || {end} || ':' || round(({confidence}) * 10000)::int || ':' || {match}"
+
+
+def kinds(values: str, cut: str = "") -> str:
+    """The distinct values of a list, in order, joined."""
+    return f"array_to_string(list_transform(list_filter({values}, lambda x, i: list_position({values}, x) = i), lambda x: replace(x, {q(cut)}, '')), ', ')"
+
+
+def digest(source: str, found: str, order: str, hit: dict, match: str = "m", text: str = "t", confidence: str = "1.0") -> str:
+    """``found`` gives spans; rows with any have ``hit``'s passed, score and reason."""
     return f"""
     with src as materialized ({source}), found as ({found}),
-    per as (select id, count(*) as n, string_agg(type || '@' || s || ':' || {match}, '|' order by {order}) as f from found group by id)
+    per as (select id, count(*) as n, string_agg({finding('type', 's', '(s + length(m))', confidence, match)}, '|' order by {order}) as f,
+                   list(type order by {order}) as ks, list(m order by {order}) as ms from found group by id)
     select id, n is null or {hit['passed']} as passed, case when n is null then 0.0::double else {hit['score']} end as score, {text} as text,
-           coalesce(n, 0)::int as n_findings, coalesce(f, '') as findings
+           coalesce(n, 0)::int as n_findings, coalesce(f, '') as findings, case when n is not null then {hit['reason']} end as reason, '' as redaction
     from src left join per using (id)"""
 
 
@@ -108,28 +121,46 @@ def _pii_items(locales, types=None):
     return [(k, f"pii.{p.type}", D.re2(p.re2 or p.pattern), p.luhn) for k, p in enumerate(C.PII) if set(p.locales) & set(locales) and (types is None or p.type in types)]
 
 
-def pii(kind: str, action: str, locales=C.DEFAULT_LOCALES, types=None) -> str:
+def pii(kind: str, action: str, locales=C.DEFAULT_LOCALES, types=None, placeholder: str = "") -> str:
     passed, score = ("false", "1.0::double") if action == "block" else ("true", "0.5::double")
-    token = "''"
-    if action == "redact":
+    token, reason = "''", {"block": f"'blocked: PII detected (' || {kinds('ks')} || ')'", "warn": "'PII detected'", "redact": "'PII redacted'", "hash": "'PII hashed'"}[action]
+    if placeholder:
+        token = q(placeholder)
+    elif action == "redact":
         token = "'[' || upper(substr(type, 5)) || '_' || row_number() over (partition by id, type order by s) || ']'"
     elif action == "hash":
         token = _token("upper(substr(type, 5))", "m")
     text = "coalesce(new, t)" if action in ("redact", "hash") else "t"
+    # of equal tokens the last value counts, at the first's place
+    pairs = "array_to_string(list_transform(list_filter(toks, lambda x, i: list_position(toks, x) = i), lambda x: x || '=' || ms[len(toks) + 1 - list_position(list_reverse(toks), x)]), '|')"
+    redaction = f"coalesce({pairs}, '')" if action in ("redact", "hash") else "''"
     return f"""
     with src as materialized ({docs(kind)}), found as ({spans(_pii_items(locales, types))}),
     sorted as (select id, list({{'s': s, 'e': s + length(m), 'type': type, 'm': m}} order by s, length(m) desc, ord) as l from found group by id),
     kept as (select id, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: case when x[1].s >= a[len(a)].e then list_concat(a, x) else a end) as k from sorted),
     rows as (select id, x.s as s, x.e as e, x.type as type, x.m as m from (select id, unnest(k) as x from kept)),
-    pieces as (select id, s, e, substr(t, (coalesce(lag(e) over (partition by id order by s), 0) + 1)::int, (s - coalesce(lag(e) over (partition by id order by s), 0))::int) || {token} as piece
+    pieces as (select id, s, e, substr(t, (coalesce(lag(e) over (partition by id order by s), 0) + 1)::int, (s - coalesce(lag(e) over (partition by id order by s), 0))::int) as before, {token} as tok
                from rows join src using (id)),
-    texts as (select id, string_agg(piece, '' order by s) || substr(any_value(t), max(e)::int + 1) as new from pieces join src using (id) group by id),
-    per as (select id, count(*) as n, string_agg(type || '@' || s || ':' || m, '|' order by s) as f from rows group by id)
-    select id, n is null or {passed} as passed, case when n is null then 0.0::double else {score} end as score, {text} as text, coalesce(n, 0)::int as n_findings, coalesce(f, '') as findings
+    texts as (select id, string_agg(before || tok, '' order by s) || substr(any_value(t), max(e)::int + 1) as new, list(tok order by s) as toks from pieces join src using (id) group by id),
+    per as (select id, count(*) as n, string_agg({finding('type', 's', 'e', '1.0', 'm')}, '|' order by s) as f, list(type order by s) as ks, list(m order by s) as ms from rows group by id)
+    select id, n is null or {passed} as passed, case when n is null then 0.0::double else {score} end as score, {text} as text, coalesce(n, 0)::int as n_findings, coalesce(f, '') as findings,
+           case when n is not null then {reason} end as reason, {redaction} as redaction
     from src left join per using (id) left join texts using (id)"""
 
 
-BLOCK, SOFT = {"passed": "false", "score": "1.0::double"}, {"passed": "true", "score": "0.5::double"}
+def block(reason: str) -> dict:
+    return {"passed": "false", "score": "1.0::double", "reason": reason}
+
+
+def soft(reason: str) -> dict:
+    return {"passed": "true", "score": "0.5::double", "reason": reason}
+
+
+def counted(text: str) -> str:
+    """A reason with the number of findings."""
+    return q(text).replace("%d", "' || n || '")
+
+
 _TOPICS = [(k, f"topic.{x}", D.re2(rf"\b{D.escape(x)}\b", True), 0) for k, x in enumerate(TOPICS)]
 _PATTERNS = [(k, "banned_pattern.match", D.re2(x), 0) for k, x in enumerate(PATTERNS)]
 _INJECTIONS = [(k, f"injection.{n}", D.re2(p, True), 0) for k, (n, p) in enumerate((g.name, p) for g in C.INJECTIONS for p in g.patterns)]
@@ -144,54 +175,112 @@ def rewritten(items, label: str, text: str = "t") -> str:
     return text
 
 
+def hashed(items, label: str, text: str = "t") -> str:
+    """One pattern after the other: pieces between the matches and their tokens."""
+    for _, _, r, _ in items:
+        token = _token(q(label), "z.ms[i]")
+        text = f"""(select case when len(z.ms) = 0 then z.x else array_to_string(list_transform(range(1, len(z.p) + 1), lambda i: z.p[i] || case when i <= len(z.ms) then {token} else '' end), '') end
+            from (select y.x as x, string_split_regex(y.x, {q(r)}) as p, regexp_extract_all(y.x, {q(r)}) as ms from (select {text} as x) y) z)"""
+    return text
+
+
+def _new_text(items, label: str, action: str) -> str:
+    return rewritten(items, label) if action == "redact" else hashed(items, label) if action == "hash" else "t"
+
+
+def secret(action: str) -> str:
+    reason = f"'secret(s) detected: ' || {kinds('ks')}"
+    return digest(docs("secret"), spans(_SECRETS), "s, length(m) desc, ord", block(reason) if action == "block" else soft(reason), match="''", text=_new_text(_SECRETS, "SECRET", action))
+
+
 def injection(action: str) -> str:
     score = "least(1.0::double, " + " + ".join("case when " + " or ".join(f"regexp_matches(t, {q(D.re2(p, True))})" for p in g.patterns) + f" then {g.weight}::double else 0::double end" for g in C.INJECTIONS) + ")"
-    hit = {"passed": f"not ({score} >= 0.5)" if action == "block" else "true", "score": f"round({score}, 6)"}
-    return digest(talk("injection"), spans(_INJECTIONS), "ord, s", hit, text=rewritten(_INJECTIONS, "INJECTION") if action == "redact" else "t")
+    shown = f"format('{{:.2f}}', {score})"
+    reason = {
+        "block": f"case when {score} >= 0.5 then 'prompt injection score ' || {shown} || ' >= threshold 0.50; signals: ' || {kinds('ks', 'injection.')} else 'below threshold (' || {shown} || ' < 0.50)' end",
+        "warn": "null::varchar", "redact": counted("redacted %d injection span(s)"), "hash": counted("hashed %d injection span(s)"),
+    }[action]
+    hit = {"passed": f"not ({score} >= 0.5)" if action == "block" else "true", "score": f"round({score}, 6)", "reason": reason}
+    weight = "case type " + " ".join(f"when 'injection.{g.name}' then {g.weight}" for g in C.INJECTIONS) + " end"
+    return digest(talk("injection"), spans(_INJECTIONS), "ord, s", hit, text=_new_text(_INJECTIONS, "INJECTION", action), confidence=weight)
 
 
 def invisible(action: str) -> str:
-    kind = "case " + " ".join(f"when regexp_matches(m, {q('[' + c + ']')}) then 'invisible.{k}'" for k, c in C.INVISIBLE.items()) + " end"
-    found = f"select id, ord, {kind} as type, s, m from ({spans([(0, '', _INVISIBLE, 0)])})"
-    return digest(talk("invisible"), found, "s", BLOCK if action == "block" else SOFT, text="t" if action == "block" else f"regexp_replace(t, {q(_INVISIBLE)}, '', 'g')")
+    def kind(m: str) -> str:
+        return "case " + " ".join(f"when regexp_matches({m}, {q('[' + c + ']')}) then 'invisible.{k}'" for k, c in C.INVISIBLE.items()) + " end"
+
+    found = f"select id, ord, {kind('m')} as type, s, m from ({spans([(0, '', _INVISIBLE, 0)])})"
+    reason = counted({"redact": "stripped", "hash": "tokenized"}.get(action, "found") + " %d invisible character(s)")
+    token = _token(f"substr({kind('ms2[i]')}, 11)", "ms2[i]")
+    text = {
+        "redact": f"regexp_replace(t, {q(_INVISIBLE)}, '', 'g')",
+        "hash": f"(select array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || case when i <= len(ms2) then {token} else '' end), '') from (select string_split_regex(t, {q(_INVISIBLE)}) as p, regexp_extract_all(t, {q(_INVISIBLE)}) as ms2))",
+    }.get(action, "t")
+    return digest(talk("invisible"), found, "s", block(reason) if action == "block" else soft(reason), text=text)
+
+
+def topic(action: str, items=None) -> str:
+    items = _TOPICS if items is None else items
+    reason = {"block": f"'banned topic(s): ' || {kinds('ks', 'topic.')}", "warn": "null::varchar"}.get(action) or counted(("redacted" if action == "redact" else "hashed") + " %d topic match(es)")
+    return digest(docs("topic"), spans(items), "ord, s", block(reason) if action == "block" else soft(reason), text=_new_text(items, "TOPIC", action))
+
+
+def pattern(action: str, items=None) -> str:
+    items = _PATTERNS if items is None else items
+    reason = counted({"block": "blocked: %d banned pattern(s) matched", "warn": "warning: %d banned pattern(s) matched", "redact": "redacted %d banned pattern(s)", "hash": "hashed %d banned pattern(s)"}[action])
+    return digest(docs("topic"), spans(items), "s, ord", block(reason) if action == "block" else soft(reason), text=_new_text(items, "BANNED", action))
+
+
+def code(action: str) -> str:
+    hit = block("'blocked: code_exec'") if action == "block" else {"passed": "true", "score": "1.0::double", "reason": f"'dangerous code detected: ' || {kinds('ms')}"}
+    return digest(talk("code"), spans(_CODE), "ord, s", hit)
 
 
 _TOKENS = f"len(regexp_extract_all(t, {q(D.re2(C.TOKEN))}))"
 
 
-def repetition() -> str:
+def token_limit(action: str) -> str:
+    return f"""with src as ({docs('topic')}), c as (select id, t, {_TOKENS} as n from src), o as (select *, n > 300 as over from c)
+        select id, {'not over' if action == 'block' else 'true'} as passed, case when over then {'1.0' if action == 'block' else '0.5'}::double else 0.0::double end as score, t as text, over::int as n_findings,
+               case when over then 'token_limit.exceeded@-1:-1:10000:' else '' end as findings, case when over then 'token limit exceeded: ~' || n || ' tokens > 300' end as reason, '' as redaction from o"""
+
+
+def repetition(action: str) -> str:
+    bad = "(coalesce(total, 0) >= 2 and score >= 0.05::double)"
     return f"""
     with src as ({docs('topic')}), w as (select id, t, string_split_regex(t, {q(D.re2(chr(92) + 's+'))}) as w from src),
     g as (select id, t, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')) as g from w),
     c as (select id, v, count(*) as n, min(i) as first from (select id, unnest(g) as v, unnest(range(1, len(g) + 1)) as i from g) group by id, v),
     s as (select id, sum(n) as total, count(*) as distinct_, 1.0::double - count(*) / sum(n)::double as score from c group by id),
-    top as (select id, v, row_number() over (partition by id order by n desc, first) as k from c where n > 1),
-    f as (select id, count(*) as n, string_agg('repetition.ngram@-1:' || v, '|' order by k) as f from top where k <= 5 group by id)
-    select id, not (coalesce(total, 0) >= 2 and score >= 0.05::double) as passed, case when coalesce(total, 0) >= 2 and score >= 0.05::double then round(score, 6) else 0.0::double end as score, t as text,
-           case when coalesce(total, 0) >= 2 and score >= 0.05::double then coalesce(f.n, 0) else 0 end::int as n_findings,
-           case when coalesce(total, 0) >= 2 and score >= 0.05::double then coalesce(f, '') else '' end as findings
+    top as (select id, v, n, row_number() over (partition by id order by n desc, first) as k from c where n > 1),
+    f as (select id, count(*) as n, string_agg({finding("'repetition.ngram'", '-1', '-1', 'top.n / total::double', 'v')}, '|' order by k) as f from top join s using (id) where k <= 5 group by id)
+    select id, {'not ' + bad if action == 'block' else 'true'} as passed, case when {bad} then round(score, 6) else 0.0::double end as score, t as text,
+           case when {bad} then coalesce(f.n, 0) else 0 end::int as n_findings, case when {bad} then coalesce(f, '') else '' end as findings,
+           case when {bad} then round(score * 100)::int || '% repetition (threshold 5%)' end as reason, '' as redaction
     from src left join s using (id) left join f using (id)"""
 
 
-def url() -> str:
+def url(action: str) -> str:
     ci = ("punycode", "shortener", "suspicious_tld")
     checks = ", ".join(f"case when regexp_matches(m, {q(D.re2(p, k in ci))}) then {q('url.' + k)} end" for k, p in C.URL_CHECKS.items())
-    kinds = f"case when lower(m) like 'data:%' then ['url.data_uri'] when lower(m) like 'javascript:%' then ['url.javascript_uri'] else list_filter([{checks}], lambda x: x is not null) end"
-    found = f"select id, type, s, m, k as ord from (select id, s, m, unnest(kinds) as type, unnest(range(1, len(kinds) + 1)) as k from (select *, {kinds} as kinds from ({spans([(0, '', D.re2(C.URL, True), 0)])})))"
-    return digest(_source("url", "pages", "page_id", "url"), found, "s, ord", BLOCK)
+    found = f"case when lower(m) like 'data:%' then ['url.data_uri'] when lower(m) like 'javascript:%' then ['url.javascript_uri'] else list_filter([{checks}], lambda x: x is not null) end"
+    found = f"select id, type, s, m, k as ord from (select id, s, m, unnest(kinds) as type, unnest(range(1, len(kinds) + 1)) as k from (select *, {found} as kinds from ({spans([(0, '', D.re2(C.URL, True), 0)])})))"
+    shown = kinds("ks", "url.")
+    return digest(_source("url", "pages", "page_id", "url"), found, "s, ord", block(f"'blocked: ' || {shown}") if action == "block" else soft(f"'suspicious URLs detected (' || {shown} || ')'"))
 
 
-def language() -> str:
+def language(action: str) -> str:
     rows = " union all ".join(f"select id, '{k}' as name, len(regexp_extract_all(t, '[{c}]')) as n, length(regexp_extract(t, '^[^{c}]*')) as first from src" for k, c in C.SCRIPTS.items())
     return f"""
     with src as ({docs('language')}), c as ({rows}),
     s as (select id, sum(n) as total, sum(case when name = 'latin' then n else 0 end) as own from c group by id),
-    top as (select id, name, row_number() over (partition by id order by n desc, first) as k from c where n > 0 and name <> 'latin'),
-    f as (select id, count(*) as n, string_agg('language.unexpected_script@-1:' || name, '|' order by k) as f from top where k <= 3 group by id),
-    j as (select id, t, total, own / total::double as ratio, f.n as n, f.f as f from src join s using (id) left join f using (id))
-    select id, total < 10 or ratio >= 0.995::double as passed, case when total < 10 or ratio >= 0.995::double then 0.0::double else round(1.0::double - ratio, 6) end as score, t as text,
-           case when total < 10 or ratio >= 0.995::double then 0 else coalesce(n, 0) end::int as n_findings, case when total < 10 or ratio >= 0.995::double then '' else coalesce(f, '') end as findings
-    from j"""
+    top as (select id, name, n, row_number() over (partition by id order by n desc, first) as k from c where n > 0 and name <> 'latin'),
+    f as (select id, count(*) as n, string_agg({finding("'language.unexpected_script'", '-1', '-1', 'top.n / total::double', 'name')}, '|' order by k) as f from top join s using (id) where k <= 3 group by id),
+    j as (select id, t, total, own / total::double as ratio, f.n as n, f.f as f from src join s using (id) left join f using (id)), b as (select *, not (total < 10 or ratio >= 0.995::double) as bad from j)
+    select id, {'not bad' if action == 'block' else 'true'} as passed, case when bad then round(1.0::double - ratio, 6) else 0.0::double end as score, t as text,
+           case when bad then coalesce(n, 0) else 0 end::int as n_findings, case when bad then coalesce(f, '') else '' end as findings,
+           case when bad then round(ratio * 100)::int || '% expected script (threshold 100%)' end as reason, '' as redaction
+    from b"""
 
 
 _PAIRS = """select a.conv_id * 1000 + u.turn as id, u.text as prompt, a.text as response from conversations a join conversations u on a.conv_id = u.conv_id and u.turn = a.turn - 1
@@ -203,25 +292,28 @@ def _content(text: str) -> str:
     return f"list_filter({words}, lambda w: length(w) > 1 and not list_contains({_list(C.STOP_WORDS)}, w))"
 
 
-def grounding() -> str:
+def grounding(action: str) -> str:
     return f"""
     with p as ({_PAIRS}), w0 as (select id, response, {_content('response')} as l, {_content('prompt')} as c from p),
     w as (select id, response, c, list_filter(l, lambda x, i: list_position(l, x) = i) as l from w0),
     m as (select id, response, l, list_filter(l, lambda x: not list_contains(c, x)) as missing from w),
     r as (select *, case when len(l) >= 3 then (len(l) - len(missing)) / len(l)::double end as ratio from m), b as (select *, coalesce(ratio < 0.5, false) as bad from r)
-    select id, not bad as passed, case when bad then round(1.0::double - ratio, 6) else 0.0::double end as score, response as text, case when bad then least(len(missing), 10) else 0 end::int as n_findings,
-           case when bad then array_to_string(list_transform(missing[1:10], lambda x: 'grounding.unsupported_claim@-1:' || x), '|') else '' end as findings
+    select id, {'not bad' if action == 'block' else 'true'} as passed, case when bad then round(1.0::double - ratio, 6) else 0.0::double end as score, response as text,
+           case when bad then least(len(missing), 10) else 0 end::int as n_findings,
+           case when bad then array_to_string(list_transform(missing[1:10], lambda x: {finding("'grounding.unsupported_claim'", '-1', '-1', '1.0::double - ratio', 'x')}), '|') else '' end as findings,
+           case when bad then round(ratio * 100)::int || '% grounded (threshold 50%)' end as reason, '' as redaction
     from b"""
 
 
-def schema() -> str:
-    return """
-    with src as (select event_id as id, case event_id % 5 when 1 then props || ' x' when 2 then replace(props, '"k"', '"q"') when 3 then '{"k": "s"}' when 4 then '[1]' else props end as t from events),
-    f as (select id, t, case when not json_valid(t) then 'schema.parse@-1:'
-                 when json_type(t::json) <> 'OBJECT' then 'schema.type@-1:'
-                 when json_extract(t::json, '$.k') is null then 'schema.required@-1:k'
-                 when json_type(t::json, '$.k') not in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'schema.property@-1:k' else '' end as f from src)
-    select id, f = '' as passed, case when f = '' then 0.0::double else 1.0::double end as score, t as text, (f <> '')::int as n_findings, f as findings from f"""
+def schema(action: str) -> str:
+    return f"""
+    with src as (select event_id as id, case event_id % 5 when 1 then props || ' x' when 2 then replace(props, '"k"', '"q"') when 3 then '{{"k": "s"}}' when 4 then '[1]' else props end as t from events),
+    f as (select id, t, case when not json_valid(t) then ['schema.parse', '', 'invalid JSON']
+                 when json_type(t::json) <> 'OBJECT' then ['schema.type', '', 'expected type "object"']
+                 when json_extract(t::json, '$.k') is null then ['schema.required', 'k', 'missing required key "k"']
+                 when json_type(t::json, '$.k') not in ('UBIGINT', 'BIGINT', 'DOUBLE') then ['schema.property', 'k', 'property "k" must be "number"'] end as f from src)
+    select id, {'f is null' if action == 'block' else 'true'} as passed, case when f is null then 0.0::double else {'1.0' if action == 'block' else '0.5'}::double end as score, t as text, (f is not null)::int as n_findings,
+           coalesce({finding('f[1]', '-1', '-1', '1.0', 'f[2]')}, '') as findings, 'schema validation failed: ' || f[3] as reason, '' as redaction from f"""
 
 
 def _hits(text: str, items) -> str:
@@ -239,7 +331,7 @@ def chain() -> str:
 def _round_trip() -> str:
     mail = q(D.re2(C.PII[0].pattern))
     frag = f"list_extract({_list(FRAGMENTS['mail'])}, (id % {len(FRAGMENTS['mail'])})::int + 1)"
-    return f"""p as ({_PAIRS}), q as (select id, prompt || ' ' || {frag} as prompt, 'Wrote to [EMAIL_1]. ' || substr(response, 1, 60) as response from p),
+    return f"""p as ({_PAIRS}), q as (select id, prompt || ' ' || {frag} as prompt, 'Wrote to [EMAIL_1]. ' || response as response from p),
     m as (select *, regexp_extract_all(prompt, {mail}) as ms, string_split_regex(prompt, {mail}) as ps from q),
     i as (select *, array_to_string(list_transform(range(1, len(ps) + 1), lambda k: ps[k] || case when k <= len(ms) then '[EMAIL_' || k || ']' else '' end), '') as clean from m),
     s as (select *, regexp_matches(clean, {q(D.re2(chr(92) + 'bdrugs' + chr(92) + 'b', True))}) as stop from i), o as (select *, not stop and {_hits('response', _TOPICS)} as cut from s),
@@ -251,6 +343,49 @@ def _count(text: str, items) -> str:
 
 
 _DRUGS = [_TOPICS[0]]
+_NAMES = "list_filter([" + ", ".join(f"case when regexp_matches(response, {q(r)}) then {q(x)} end" for x, (_, _, r, _) in zip(TOPICS, _TOPICS)) + "], lambda x: x is not null)"
+_REASON = f"case when stop then 'banned topic(s): drugs' when cut then 'banned topic(s): ' || array_to_string({_NAMES}, ', ') end"
+
+
+def _results(name: str, fails: str, n: str, score: str) -> str:
+    return f"('{name}:' || (not ({fails})) || ':' || case when {n} > 0 then '{score}' else '0.0' end || ':' || {n})"
+
+
+def _entry(name: str, stage: str, fails: str, n: str, score: str, types: str | None) -> str:
+    """A scanner's entry of the audit record in JSON."""
+    shown = f"""',"finding_types":' || {q(types) if types else "'[' || array_to_string(list_transform(list_sort(" + _NAMES + "), lambda x: chr(34) || 'topic.' || x || chr(34)), ',') || ']'"}"""
+    return f"""('{{"name":"{name}","stage":"{stage}","passed":' || (not ({fails})) || ',"score":' || case when {n} > 0 then '{score}' else '0.0' end || ',"finding_count":' || {n} || case when {n} > 0 then {shown} else '' end || '}}')"""
+
+
+#: Boundary of the guarded streams.
+SENTENCE = ". "
+
+
+def _stream_guard() -> str:
+    """Conversations as streams: the first prompt, the assistant's turns as chunks, one segment a chunk at most."""
+    mail = q(D.re2(C.PII[0].pattern))
+    frag = f"list_extract({_list(FRAGMENTS['mail'])}, (conv_id % {len(FRAGMENTS['mail'])})::int + 1)"
+    hit = _hits("text", _TOPICS)
+    return f"""
+    with p as (select conv_id, arg_min(text, turn) || ' ' || {frag} as prompt from conversations where role = 'user' group by conv_id),
+    c as (select conv_id, list(case when k = 1 then 'Wrote to [EMAIL_1]. ' else '' end || text order by turn) as cs from (select *, row_number() over (partition by conv_id order by turn) as k from conversations where role = 'assistant') group by conv_id),
+    i as (select conv_id, regexp_extract_all(prompt, {mail}) as ms, {rewritten([(0, '', D.re2(C.PII[0].pattern), 0)], 'X', 'prompt')} as clean from p),
+    j as (select conv_id, ms, regexp_matches(clean, {q(_DRUGS[0][2])}) as stop, {_count('clean', _DRUGS)} as n from i),
+    w as (select conv_id, ms, cs, array_to_string(cs, '') as t from c join j using (conv_id) where not stop),
+    e as (select *, string_split(t, {q(SENTENCE)}) as ps from w),
+    f as (select *, list_transform(range(1, len(ps)), lambda k: list_sum(list_transform(ps[1:k], lambda x: length(x) + {len(SENTENCE)}))::bigint) as es,
+                 list_transform(range(1, len(cs) + 1), lambda k: list_sum(list_transform(cs[1:k], lambda x: length(x)))::bigint) as ends from e),
+    g as (select *, list_reduce(list_concat([0::bigint], ends), lambda k, x: k + case when k < len(es) and es[k + 1] <= x then 1 else 0 end) as k from f),
+    s as (select conv_id, ms, list_filter(list_concat(list_transform(range(1, k + 1), lambda i: substr(t, (coalesce(es[i - 1], 0) + 1)::bigint, es[i] - coalesce(es[i - 1], 0))),
+                 [substr(t, (coalesce(es[k], 0) + 1)::bigint)]), lambda x: x <> '') as l from g),
+    r as (select conv_id::varchar as stream_id, ms, unnest(range(len(l)))::int as seg_seq, unnest(l) as text from s),
+    b as (select *, {hit} as blocked, {_count('text', _TOPICS)}::int as n_findings, {_NAMES.replace('response', 'text')} as names from r),
+    x as (select *, coalesce(bool_or(blocked) over (partition by stream_id order by seg_seq rows between unbounded preceding and 1 preceding), false) as gone from b)
+    select stream_id, seg_seq, case when not blocked and len(ms) > 0 then replace(text, '[EMAIL_1]', ms[1]) else text end as text, blocked,
+           case when blocked then 'banned topic(s): ' || array_to_string(names, ', ') end as block_reason, n_findings from x where not gone
+    union all select conv_id::varchar, 0, '', true, 'banned topic(s): drugs', (len(ms) + n)::int from j where stop"""
+
+
 ORACLES = {
     "findings_rollup": f"""
         with src as materialized ({docs('pii')}), found as ({spans(_pii_items(['us'], ['email', 'ip', 'ssn']))}),
@@ -264,36 +399,45 @@ ORACLES = {
     "pii_all_locales": pii("locale", "warn", C.LOCALES),
     **{f"pii_locale_{x.lower()}": pii("locale", "warn", [x]) for x in C.LOCALES},
     "pii_catalogue": "select unnest(['us', 'eu', 'india', 'brazil', 'mexico', 'japan', 'southKorea', 'canada', 'australia']) as locale, unnest([6, 10, 7, 7, 7, 6, 6, 6, 7])::bigint as patterns",
-    "secret_findings": digest(docs("secret"), spans(_SECRETS), "s, length(m) desc, ord", BLOCK, match="''"),
-    "secret_redact": digest(docs("secret"), spans(_SECRETS), "s, length(m) desc, ord", SOFT, match="''", text=rewritten(_SECRETS, "SECRET")),
-    "injection_block": injection("block"),
-    "injection_redact": injection("redact"),
-    "invisible_redact": invisible("redact"),
-    "invisible_block": invisible("block"),
-    "topic_block": digest(docs("topic"), spans(_TOPICS), "ord, s", BLOCK),
-    "topic_redact": digest(docs("topic"), spans(_TOPICS), "ord, s", SOFT, text=rewritten(_TOPICS, "TOPIC")),
-    "topic_hash": digest(
-        docs("topic"), spans(_DRUGS), "ord, s", SOFT,
-        text=f"array_to_string(list_transform(range(1, len(string_split_regex(t, {q(_DRUGS[0][2])})) + 1), lambda i: string_split_regex(t, {q(_DRUGS[0][2])})[i] || coalesce({_token(q('TOPIC'), f'regexp_extract_all(t, {q(_DRUGS[0][2])})[i]')}, '')), '')",
-    ),
-    "pattern_block": digest(docs("topic"), spans(_PATTERNS), "s, ord", BLOCK),
-    "pattern_redact": digest(docs("topic"), spans(_PATTERNS), "s, ord", SOFT, text=rewritten(_PATTERNS, "BANNED")),
-    "token_limit": f"""with src as ({docs('topic')}), c as (select id, t, {_TOKENS} > 300 as over from src)
-        select id, not over as passed, case when over then 1.0::double else 0.0::double end as score, t as text, over::int as n_findings, case when over then 'token_limit.exceeded@-1:' else '' end as findings from c""",
-    "repetition": repetition(),
-    "url_block": url(),
-    "language": language(),
-    "code_exec": digest(talk("code"), spans(_CODE), "ord, s", BLOCK),
-    "grounding": grounding(),
-    "schema_validate": schema(),
+    "pii_placeholder": pii("pii", "redact", placeholder="<removed>"),
+    "secret_findings": secret("block"),
+    "secret_redact": secret("redact"),
+    "secret_hash": secret("hash"),
+    "secret_warn": secret("warn"),
+    **{f"injection_{x}": injection(x) for x in ("block", "redact", "hash", "warn")},
+    **{f"invisible_{x}": invisible(x) for x in ("block", "redact", "hash", "warn")},
+    **{f"topic_{x}": topic(x) for x in ("block", "redact", "warn")},
+    "topic_hash": topic("hash", _DRUGS),
+    **{f"pattern_{x}": pattern(x) for x in ("block", "redact", "hash", "warn")},
+    "pattern_alternatives": pattern("block", [(k, "banned_pattern.match", r, 0) for k, r in enumerate(ALTERNATIVES_RE2)]),
+    "token_limit": token_limit("block"),
+    "token_limit_redact": token_limit("redact"),
+    "repetition": repetition("block"),
+    "repetition_warn": repetition("warn"),
+    "url_block": url("block"),
+    "url_warn": url("warn"),
+    "language": language("block"),
+    "language_warn": language("warn"),
+    "code_exec": code("block"),
+    "code_warn": code("warn"),
+    "grounding": grounding("block"),
+    "grounding_warn": grounding("warn"),
+    "schema_validate": schema("block"),
+    "schema_warn": schema("warn"),
     "chain_input": chain(),
     "policy_from_config": chain(),
     "chain_stage_skip": f"with src as ({docs('topic')}) select id, t as text, 'banned_topic' as scanners, case when {_hits('t', _TOPICS)} then 'banned_topic' end as blocker from src",
     "round_trip": f"""with {_round_trip()} select id, stop or cut as blocked, case when stop then 'input' when cut then 'output' end as blocked_stage,
-        case when not stop then clean end as input, output, case when not stop and not cut then response end as raw_output from n""",
-    "audit_log": f"""with {_round_trip()} select id, stop or cut as blocked, {fnv('prompt')} as input_hash,
-        case when stop then 0 when cut then {fnv('response')} else {fnv('output')} end::bigint as output_hash,
-        (len(ms) + {_count('clean', _DRUGS)} + case when stop then 0 else {_count('response', _TOPICS)} end)::int as total_findings from n""",
+        {_REASON} as block_reason, case when not stop then clean end as input, output, case when not stop and not cut then response end as raw_output,
+        array_to_string(list_transform(range(1, len(ms) + 1), lambda k: '[EMAIL_' || k || ']=' || ms[k]), '|') as pii,
+        {_results('pii', 'false', 'len(ms)', '0.5')} || ',' || {_results('banned_topic', 'stop', _count('clean', _DRUGS), '1.0')} as input_results,
+        case when stop then '' else {_results('banned_topic', 'cut', _count('response', _TOPICS), '1.0')} end as output_results from n""",
+    "audit_log": f"""with {_round_trip()}, a as (select *, {fnv('prompt')} as input_hash, case when stop then 0 when cut then {fnv('response')} else {fnv('output')} end::bigint as output_hash,
+        len(ms) as n1, {_count('clean', _DRUGS)} as n2, case when stop then 0 else {_count('response', _TOPICS)} end as n3, {_REASON} as reason from n)
+        select id, stop or cut as blocked, input_hash, output_hash, (n1 + n2 + n3)::int as total_findings,
+        '{{"timestamp_us":0,"blocked":' || (stop or cut) || case when stop then ',"blocked_stage":"input"' when cut then ',"blocked_stage":"output"' else '' end || coalesce(',"block_reason":"' || reason || '"', '')
+        || ',"input_hash":' || input_hash || ',"output_hash":' || output_hash || ',"scanners":[' || {_entry('pii', 'input', 'false', 'n1', '0.5', '["pii.email"]')} || ',' || {_entry('banned_topic', 'input', 'stop', 'n2', '1.0', '["topic.drugs"]')}
+        || case when stop then '' else ',' || {_entry('banned_topic', 'output', 'cut', 'n3', '1.0', None)} end || '],"total_findings":' || (n1 + n2 + n3)::int || '}}' as audit_json from a""",
     "metrics_by_scanner": f"""with {_round_trip()} select 'input' as stage, 'pii' as scanner, count(*) as runs, 0::bigint as blocked, sum(len(ms))::bigint as findings from n
         union all select 'input', 'banned_topic', count(*), sum(stop::int)::bigint, sum({_count('clean', _DRUGS)})::bigint from n
         union all select 'output', 'banned_topic', count(*), sum(cut::int)::bigint, sum({_count('response', _TOPICS)})::bigint from n where not stop""",
@@ -310,3 +454,6 @@ ORACLES = {
     "hash32": f"select conv_id * 1000 + turn as id, {fnv('text')} as h from conversations",
 }
 ORACLES["stream_stateful"] = ORACLES["stream_segments"]
+ORACLES["stream_guard"] = ORACLES["stream_guard_live"] = _stream_guard()
+ORACLES["metrics_observed"] = f"""with {_round_trip()} select count(*) as runs, sum((stop or cut)::int)::bigint as blocked,
+    sum(len(ms) + {_count('clean', _DRUGS)} + case when stop then 0 else {_count('response', _TOPICS)} end)::bigint as findings from n"""

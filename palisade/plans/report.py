@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
@@ -47,9 +47,9 @@ def audit(df: DataFrame, prompt: str, outcome: str = "outcome", timestamp: Colum
     return df.withColumn(out, record).withColumn(f"{out}_json", F.to_json(F.col(out)))
 
 
-def observed(df: DataFrame, name: str, outcome: str = "outcome") -> DataFrame:
+def observed(df: DataFrame, name: str | Observation, outcome: str = "outcome") -> DataFrame:
     """``df`` with metrics that are gathered while it runs (``Observation``, or a
-    streaming listener's ``observedMetrics``)."""
+    streaming listener's ``observedMetrics`` under a name)."""
     o = F.col(outcome)
     n = F.aggregate(F.concat(o["input_results"], o["output_results"]), F.lit(0), lambda a, r: a + F.size(r["findings"]))
     return df.observe(name, F.count(F.lit(1)).alias("runs"), F.sum(o["blocked"].cast("long")).alias("blocked"), F.sum(n).alias("findings"))

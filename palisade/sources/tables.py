@@ -14,14 +14,22 @@ from palisade.sources.ship import ship
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors
-    share; on a session without one (one machine), below a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "palisade")
+    share; on a session without one that runs on one machine, below a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "palisade")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's rows. Scanning costs far more than moving texts, so a table whose
+    files give fewer partitions than there are cores is dealt anew."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def texts(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:

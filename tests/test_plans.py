@@ -152,6 +152,47 @@ def test_a_blocked_segment_ends_its_stream(spark):
     assert [(r.text, r.blocked) for r in rows] == [("fine\n", False), ("about drugs\n", True), ("ok\n", False)]
 
 
+def test_one_segment_a_chunk(spark):
+    df = chunks(spark, ("a", 0, "a\nb\nc"), ("a", 1, None), ("a", 2, "!\nd"), ("b", 0, "x\n\n"), ("c", 0, "n"), ("c", 1, "o"), ("d", 0, ""), ("e", 0, "1\n"), ("e", 1, "2\n"))
+    got = sorted((r.stream_id, r.seg_seq, r.text) for r in G.segments(df, one_per_chunk=True).collect())
+    assert got == [("a", 0, "a\n"), ("a", 1, "b\n"), ("a", 2, "c!\n"), ("a", 3, "d"), ("b", 0, "x\n"), ("b", 1, "\n"), ("c", 0, "no"), ("e", 0, "1\n"), ("e", 1, "2\n")]
+    for key in "abce":
+        c, s = G.Cutter(one_per_chunk=True), {"next": 0, "seg": 0, "open": "", "early": {}, "done": False}
+        rows = [r.chunk for r in df.where(F.col("stream_id") == key).orderBy("chunk_seq").collect()]
+        assert c.feed(s, [(n, t, n == len(rows) - 1) for n, t in enumerate(rows)]) == [(n, t) for k, n, t in got if k == key]
+    with pytest.raises(ValueError):
+        G.segments(df, "x", regex=True, one_per_chunk=True)
+
+
+def test_guard_of_a_live_stream(spark, tmp_path):
+    """Batch by batch: blocked prompts, tokens of several batches, nothing after a blocked segment, restarts."""
+    from palisade.sources.tables import chunk_stream
+
+    source, kind = tmp_path / "in", "stream_id string, chunk_seq int, chunk string, is_last boolean"
+    policy = P.Policy([P.pii(types=["email"]), P.banned_topic(["guns"])], [P.banned_topic(["drugs"])])
+    prompts = spark.createDataFrame([("a", "mail x@y.org"), ("b", "about guns"), ("c", "hi"), ("d", "z@z.net")], "stream_id string, prompt string")
+    parts = [
+        [("a", 0, "to [EMAIL_1]\nand", False), ("b", 0, "never\n", True), ("c", 0, "fine\ndrugs", False)],
+        [("c", 1, " here\nmore", False), ("a", 1, " [EMAIL_", False)],
+        [("c", 2, "\nstill\n", True), ("a", 2, "1]\n", True), ("d", 0, "[EMAIL_1]", True)],
+    ]
+
+    def run():
+        q = G.guard_stream(chunk_stream(spark, str(source)), prompts, policy, str(tmp_path / "out"), timeout_ms=None).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for rows in parts:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(source))
+        run()
+    rows = G.guarded_output(spark, str(tmp_path / "out")).orderBy("stream_id", "seg_seq").collect()
+    want = [("a", 0, "to x@y.org\n", False), ("a", 1, "and x@y.org\n", False), ("b", 0, "", True), ("c", 0, "fine\n", False), ("c", 1, "drugs here\n", True), ("d", 0, "z@z.net", False)]
+    assert [(r.stream_id, r.seg_seq, r.text, r.blocked) for r in rows] == want
+    assert rows[2].block_reason == rows[4].block_reason.replace("drugs", "guns") and [f.type for f in rows[2].findings] == ["topic.guns"]
+    stored = [(s, n, c) for batch in parts for s, n, c, _ in batch]
+    again = G.guarded_talk(prompts, chunks(spark, *stored), policy).orderBy("stream_id", "seg_seq").collect()
+    assert [(r.stream_id, r.seg_seq, r.text, r.blocked) for r in again] == want
+
+
 def test_cutter():
     c, s = G.Cutter(one_per_chunk=True), {"next": 0, "seg": 0, "open": "", "early": {}, "done": False}
     assert c.feed(s, [(0, "a\nb\nc", False)]) == [(0, "a\n")]
