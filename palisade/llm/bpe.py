@@ -290,8 +290,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_text: bool = False) -> D
     """A row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, and
     with ``keep_text`` also ``ids`` and ``decoded`` themselves.
 
-    Null and empty texts have no ids and decode to the empty text. Repeated rows
-    and null ids stay, a row each; other columns are not read.
+    Null and empty texts have no ids and decode to the empty text. Very long texts
+    and very long words are encoded whole. Repeated rows and null ids stay, a row each; other columns are not read.
     """
 
     def run(batches):

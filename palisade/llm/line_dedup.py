@@ -99,8 +99,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     A null text stays null and has no lines; an empty text has one blank line.
     Blank lines bear no words; they are deleted only inside a run. Rows with a
     null id come first, rows with equal ids follow each other in the order they
-    are stored. A text all of whose lines go becomes empty; its row stays. Other
-    columns are passed on.
+    are stored. A text all of whose lines go becomes empty; its row stays. Very
+    long texts, of many lines or of one, take work in proportion to their length.
+    Other columns are passed on; an empty table gives no rows.
 
     Rows are numbered as they are read, so the input must be read alike each
     time: a plan other than a plain file scan (``bare_scan``) is written first.

@@ -1,7 +1,9 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are cut at safe boundaries (see ``cells``), cells go to the library in
-calls of about equal bytes, and only numbers come back.
+calls of about equal bytes, and only numbers come back. A very long text is cut like
+others, so the library sees no more of it at once than a call's bytes, unless it has
+a longer stretch without a safe boundary.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, UTF-8 bytes, tokens, tokens > ``limit``.
 
-    Null text: 0 bytes, 0 tokens. Null ids and repeated rows stay, a row each.
+    Null and empty text: 0 bytes, 0 tokens. Null ids and repeated rows stay, a row each.
     Empty tables give empty results; other columns are not read.
     """
 

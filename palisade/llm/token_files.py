@@ -24,8 +24,8 @@ FILE_IDS = 64_000_000
 def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int = 0, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all of ``docs`` below ``root``; returns the table of files.
 
-    Null text counts as empty (its ids are ``end_id`` alone). Null ids come
-    first; rows with equal ids stand in the order of a hash of their text.
+    Null text counts as empty (its ids are ``end_id`` alone). A very long text is
+    one document of one file, in as many blocks as it needs. Null ids come first; rows with equal ids stand in the order of a hash of their text.
     ``base``: the number of ids in all files before.
     """
     n = shuffle_partitions(docs.sparkSession)

@@ -47,6 +47,40 @@ def test_matrix_is_exact():
     assert abs(mean - 10 * 9 / 117) < 0.15
 
 
+def test_own_draws_follow_the_law(monkeypatch):
+    """The draw for large populations, used for small ones: mean and variance of the hypergeometric law."""
+    import numpy as np
+
+    from palisade.llm import shards as S
+
+    monkeypatch.setattr(S, "LARGE", 1)
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((30, 50, 20), (3000, 500, 70), (5, 5, 9), (1, 400, 200)):
+        x = S.hypergeometric(rng, np.full(40_000, good), np.full(40_000, bad), np.full(40_000, n))
+        total = good + bad
+        mean = n * good / total
+        var = mean * (bad / total) * (total - n) / (total - 1)
+        assert x.min() >= max(0, n - bad) and x.max() <= min(n, good)
+        assert abs(x.mean() - mean) < 5 * (var / 40_000) ** 0.5 and abs(x.var() / var - 1) < 0.05
+
+
+def test_whole_shuffle_is_uniform():
+    """Each row is as often in each cell, and two rows meet as often, whether of one partition or of two."""
+    import numpy as np
+
+    from palisade.llm.shards import _labels, sizes_of
+
+    rows, shards, runs = [7, 0, 12, 5], 4, 3000
+    before = np.concatenate(([0], np.cumsum(rows))).astype(np.int64).tobytes()
+    cells = np.array([np.concatenate([_labels(s, i, i, before, shards, 1) for i in range(4)]) for s in range(runs)])
+    size = sizes_of(24, shards)
+    for c in range(shards):
+        assert (np.bincount((cells == c).sum(axis=1)) == [0] * size[c] + [runs]).all()
+        assert abs((cells == c).mean(axis=0) - size[c] / 24).max() < 0.04
+    meet = (cells[:, :, None] == cells[:, None, :]).mean(axis=0)[~np.eye(24, dtype=bool)]
+    assert abs(meet - 5 / 23).max() < 0.04
+
+
 def test_token_files(odd_docs, no_docs):
     from tokenizers import Tokenizer
 
