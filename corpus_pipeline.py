@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.bpe import encode_decode
-from palisade.llm.common import shared_dir, table, written
+from palisade.llm.common import removed, shared_dir, table, written
 from palisade.llm.decontaminate import decontaminated
 from palisade.llm.jaccard_join import first_of_each
 from palisade.llm.line_dedup import dedup_lines
@@ -66,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         docs = out if k + 1 == len(STAGES) else written(out, f"{root}/{k}")
+        if 0 < k < len(STAGES) - 1:
+            removed(spark, f"{root}/{k - 1}")  # the stage has read it
     return docs
