@@ -7,7 +7,9 @@ several times doesn't compute it several times.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,11 +30,17 @@ def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def spans(t: Column, regex: str, type_: str, confidence: float = 1.0, order: int = 0, gate: Column | None = None, match: bool = True) -> Column:
+def texts(values) -> Column:
+    """A constant array of texts. One literal: building plans costs driver time for every call."""
+    values = list(values)
+    return F.split(F.lit("\x01".join(values)), "\x01", -1) if values else empty("string")
+
+
+def spans(t: Column, regex: Column, type_: Column, confidence: Column, order: Column, match: bool = True) -> Column:
     """All matches of a Java pattern, as ``array<SPAN>``, in text order.
 
     The pieces between the matches give the positions; texts without a match are
-    gone over once. ``gate`` is a cheap test that texts with a match pass.
+    gone over once.
     """
 
     def build(m: Column) -> Column:
@@ -43,16 +51,49 @@ def spans(t: Column, regex: str, type_: str, confidence: float = 1.0, order: int
             start = acc["pos"] + F.length(F.get(p, acc["i"]))
             end = start + F.length(m)
             hit = F.struct(
-                start.alias("start"), (-F.length(m)).alias("neg"), F.lit(order).alias("ord"), F.lit(type_).alias("type"), end.alias("end"),
-                (m if match else F.lit(None).cast("string")).alias("match"), F.lit(float(confidence)).alias("confidence"),
+                start.alias("start"), (-F.length(m)).alias("neg"), order.alias("ord"), type_.alias("type"), end.alias("end"),
+                (m if match else F.lit(None).cast("string")).alias("match"), confidence.alias("confidence"),
             )
             return F.struct(end.alias("pos"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
         zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), empty(SPAN).alias("out"))
         return F.aggregate(all_, zero, add, lambda acc: acc["out"])
 
-    found = let(F.regexp_extract_all(t, F.lit(regex), 0), build)
-    return F.coalesce(found if gate is None else F.when(gate, found), empty(SPAN))
+    return F.coalesce(let(F.regexp_extract_all(t, regex, 0), build), empty(SPAN))
+
+
+class Pattern(NamedTuple):
+    """A Java pattern and what its spans bear."""
+
+    regex: str
+    type: str
+    confidence: float = 1.0
+
+
+def spans_of(t: Column, patterns: list[Pattern], fired: Column | None = None, match: bool = True) -> Column:
+    """The spans of several patterns, pattern by pattern; ``fired``: the numbers of
+    those to try. The patterns are data, so the plan doesn't grow with them."""
+    regex, types = texts(p.regex for p in patterns), texts(p.type for p in patterns)
+    weights = {p.confidence for p in patterns}
+    one = F.lit(float(weights.pop())) if len(weights) == 1 else None
+    confidence = F.from_json(F.lit(json.dumps([float(p.confidence) for p in patterns])), "array<double>")
+
+    def found(k: Column) -> Column:
+        return let(F.get(regex, k), lambda r: spans(t, r, F.get(types, k), F.get(confidence, k) if one is None else one, k, match))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(patterns) - 1)) if fired is None else fired, found))
+
+
+def fired(gates: list[Column | None]) -> Column:
+    """The numbers of the gates that are open; None: always."""
+    return F.array_compact(F.array(*[F.lit(k) if g is None else F.when(g, F.lit(k)) for k, g in enumerate(gates)]))
+
+
+def literals_fired(low: Column, gates: list[tuple[tuple[str, ...], ...]]) -> Column:
+    """The numbers of the gates whose literals a (lower-case) text has: one of each group."""
+    data = F.from_json(F.lit(json.dumps(gates)), "array<array<array<string>>>")
+    has = lambda k: F.forall(F.get(data, k), lambda group: F.exists(group, lambda x: F.contains(low, x)))
+    return F.filter(F.sequence(F.lit(0), F.lit(len(gates) - 1)), lambda k: F.coalesce(has(k), F.lit(False)))
 
 
 def replaced(t: Column, regex: Column, token: Callable[[Column], Column]) -> Column:
@@ -94,24 +135,13 @@ def hash_digits(t: Column) -> Column:
     return F.lpad(F.lower(F.hex(fnv1a32(t) % F.lit(16777216).cast("bigint"))), 6, "0")
 
 
-def has(low: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
-    """Whether a text has one literal of each group."""
-    out = F.lit(True)
-    for group in groups:
-        any_ = F.lit(False)
-        for literal in group:
-            any_ = any_ | low.contains(literal)
-        out = out & any_
-    return out
-
-
 def digit_skeleton(t: Column) -> Column:
     """The runs of digits of a text, with an x for each run of anything else:
     short for prose, so that what a pattern needs of digits is tested on little."""
     return F.regexp_replace(t, "[^0-9]+", "x")
 
 
-def luhn_ok(match: Column, least: int) -> Column:
+def luhn_ok(match: Column, least: Column) -> Column:
     def valid(d: Column) -> Column:
         def worth(c: Column, i: Column) -> Column:
             n = c.cast("int")

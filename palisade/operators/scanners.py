@@ -45,7 +45,7 @@ def _hashed(label: str) -> Callable[[Column], Column]:
 
 def _rewritten(t: Column, patterns: list[str] | Column, action: str, label: str) -> Column:
     """One pattern after the other, each over what the one before has made."""
-    array = patterns if isinstance(patterns, Column) else F.array(*map(F.lit, patterns))
+    array = patterns if isinstance(patterns, Column) else T.texts(patterns)
     return T.rewritten(t, array, f"[{label}]" if action == "redact" else _hashed(label))
 
 
@@ -64,24 +64,25 @@ def pii_patterns(types=None, locales=C.DEFAULT_LOCALES) -> list[tuple[int, C.Pii
     return [(k, p) for k, p in enumerate(C.PII) if set(p.locales) & set(locales) and (types is None or p.type in types)]
 
 
-def _with_checksum(found: Column, least: int) -> Column:
-    return F.filter(found, lambda x: T.luhn_ok(x["match"], least))
-
-
 def pii_spans(t: Column, types=None, locales=C.DEFAULT_LOCALES) -> Column:
     """Resolved spans of personal data, in code points."""
-    chosen = pii_patterns(types, locales)
+    chosen = [p for _, p in pii_patterns(types, locales)]
+    if not chosen:
+        return T.empty(T.SPAN)
+    least = F.from_json(F.lit(str([p.luhn for p in chosen])), "array<int>")
 
     def found(skeleton: Column) -> Column:
-        parts = []
-        for k, p in chosen:
-            gate = F.rlike(skeleton, F.lit(p.digits)) if p.digits else F.lit(True)
-            gate = gate & t.contains(p.gate) if p.gate else gate
-            s = T.spans(t, D.java(p.pattern, first=p.first), f"pii.{p.type}", 1.0, k, gate)
-            parts.append(_with_checksum(s, p.luhn) if p.luhn else s)
-        return F.concat(*parts)
+        gates = []
+        for p in chosen:
+            gate = F.rlike(skeleton, F.lit(p.digits)) if p.digits else None
+            literal = t.contains(p.gate) if p.gate else None
+            gates.append(literal if gate is None else gate if literal is None else gate & literal)
+        return T.spans_of(t, [T.Pattern(D.java(p.pattern, first=p.first), f"pii.{p.type}") for p in chosen], T.fired(gates))
 
-    return T.resolved(T.let(T.digit_skeleton(t), found)) if chosen else T.empty(T.SPAN)
+    spans = T.let(T.digit_skeleton(t), found)
+    if any(p.luhn for p in chosen):
+        spans = F.filter(spans, lambda x: T.let(F.get(least, x["ord"]), lambda n: (n == 0) | T.luhn_ok(x["match"], n)))
+    return T.resolved(spans)
 
 
 def scan_pii(t: Column, action: str = "redact", types=None, locales=C.DEFAULT_LOCALES, placeholder: str | Callable[[Column], Column] | None = None) -> Column:
@@ -124,8 +125,8 @@ def scan_pii(t: Column, action: str = "redact", types=None, locales=C.DEFAULT_LO
 def scan_secret(t: Column, action: str = "block") -> Column:
     _action(action)
     rules = [(s, D.java(s.pattern, s.ignore_case)) for s in C.SECRETS]
-    gate = {s.rule: (F.lower(t).contains(s.gate) if s.ignore_case else t.contains(s.gate)) for s, _ in rules}
-    found = F.array_sort(F.concat(*[T.spans(t, p, f"secret.{s.rule}", 1.0, k, gate[s.rule], match=False) for k, (s, p) in enumerate(rules)]))
+    gates = [F.lower(t).contains(s.gate) if s.ignore_case else t.contains(s.gate) for s, _ in rules]
+    found = F.array_sort(T.spans_of(t, [T.Pattern(p, f"secret.{s.rule}") for s, p in rules], T.fired(gates), match=False))
 
     def body(f: Column) -> Column:
         hits, kinds = T.utf16(t, f), F.concat(F.lit("secret(s) detected: "), _types(f))
@@ -155,7 +156,8 @@ def scan_injection(t: Column, action: str = "block", threshold: float = 0.5) ->
     name, limit = "prompt_injection", f"{threshold:.2f}"
     groups = [(g, [D.java(p, True) for p in g.patterns]) for g in C.INJECTIONS]
     flat = [(g, p) for g, ps in groups for p in ps]
-    found = T.let(F.lower(t), lambda low: F.concat(*[T.spans(t, p, f"injection.{g.name}", g.weight, gate=T.has(low, need)) for (g, p), need in zip(flat, C.INJECTION_GATES)]))
+    patterns = [T.Pattern(p, f"injection.{g.name}", g.weight) for g, p in flat]
+    found = T.let(F.lower(t), lambda low: T.spans_of(t, patterns, T.literals_fired(low, C.INJECTION_GATES)))
 
     def body(f: Column) -> Column:
         hits, score = T.utf16(t, f), injection_score(f)
@@ -169,9 +171,10 @@ def scan_injection(t: Column, action: str = "block", threshold: float = 0.5) ->
             return T.let(score, judged)
         if action == "warn":
             return T.result(name, True, score, t, hits, None)
-        fired = [F.when(_has_type(f, f"injection.{g.name}"), F.lit(p)) for g, p in flat]
+        seen = F.transform(f, lambda x: x["type"])
+        fired = F.transform(F.filter(F.arrays_zip(T.texts(p.type for p in patterns).alias("type"), T.texts(p.regex for p in patterns).alias("regex")), lambda x: F.array_contains(seen, x["type"])), lambda x: x["regex"])
         word = "redacted" if action == "redact" else "hashed"
-        return T.result(name, True, score, _rewritten(t, F.array_compact(F.array(*fired)), action, "INJECTION"), hits, _number(F.size(f), f"{word} %d injection span(s)"))
+        return T.result(name, True, score, _rewritten(t, fired, action, "INJECTION"), hits, _number(F.size(f), f"{word} %d injection span(s)"))
 
     return _given(t, name, found, body)
 
@@ -189,7 +192,7 @@ def scan_invisible(t: Column, action: str = "redact") -> Column:
             out = F.when(F.rlike(m, F.lit(f"[{C.INVISIBLE[k]}]")), F.lit(k)).otherwise(out)
         return out
 
-    found = F.transform(T.spans(t, any_, "invisible."), lambda s: s.withField("type", F.concat(F.lit("invisible."), kind(s["match"]))))
+    found = F.transform(T.spans_of(t, [T.Pattern(any_, "invisible.")]), lambda s: s.withField("type", F.concat(F.lit("invisible."), kind(s["match"]))))
 
     def body(f: Column) -> Column:
         hits, n = T.utf16(t, f), F.size(f)
@@ -229,7 +232,8 @@ def scan_topic(t: Column, topics: list[str], action: str = "block", case_sensiti
     patterns = [topic_regex(x, case_sensitive) for x in topics]
     if not topics:
         return T.clean(name, t)
-    found = T.let(F.lower(t), lambda low: F.concat(*[T.spans(t, p, f"topic.{x}", gate=_topic_gate(t, low, x)) for x, p in zip(topics, patterns)]))
+    rules = [T.Pattern(p, f"topic.{x}") for x, p in zip(topics, patterns)]
+    found = T.let(F.lower(t), lambda low: T.spans_of(t, rules, T.fired([_topic_gate(t, low, x) for x in topics])))
 
     def body(f: Column) -> Column:
         hits = T.utf16(t, f)
@@ -249,7 +253,7 @@ def scan_pattern(t: Column, patterns: list[str], action: str = "block", name: st
     if not regexes:
         return T.clean(name, t)
     gates = [t.contains(p) if literal else None for p in patterns]
-    found = F.concat(*[T.spans(t, p, "banned_pattern.match", 1.0, k, gate) for k, (p, gate) in enumerate(zip(regexes, gates))])
+    found = T.spans_of(t, [T.Pattern(p, "banned_pattern.match") for p in regexes], T.fired(gates))
     # by start, then by pattern
     found = F.array_sort(F.transform(found, lambda s: s.withField("neg", F.lit(0))))
 
@@ -353,7 +357,7 @@ def url_findings(t: Column, categories=C.URL_CATEGORIES) -> Column:
                 out = F.when(low.startswith(head), F.array(F.lit(k))).otherwise(out)
         return out
 
-    urls = T.spans(t, D.java(C.URL, True), "url.")
+    urls = T.spans_of(t, [T.Pattern(D.java(C.URL, True), "url.")])
     return F.flatten(F.transform(urls, lambda s: F.transform(kinds(s["match"]), lambda k: s.withField("type", F.concat(F.lit("url."), k)))))
 
 
@@ -420,11 +424,10 @@ def scan_language(t: Column, action: str = "block", expected=("latin",), thresho
 def scan_code(t: Column, action: str = "block", categories=("shell", "sql", "injection", "filesystem")) -> Column:
     _action(action)
     name = "code_exec"
-    if not set(categories) & {c for c, _, _ in C.CODE}:
+    chosen = [(T.Pattern(D.java(p, ci), f"code_exec.{c}"), need) for (c, p, ci), need in zip(C.CODE, C.CODE_GATES) if c in categories]
+    if not chosen:
         return T.clean(name, t)
-
-    def parts(low: Column) -> Column:
-        return F.concat(*[T.spans(t, D.java(p, ci), f"code_exec.{c}", 1.0, k, T.has(low, need)) for k, ((c, p, ci), need) in enumerate(zip(C.CODE, C.CODE_GATES)) if c in categories])
+    found = T.let(F.lower(t), lambda low: T.spans_of(t, [p for p, _ in chosen], T.literals_fired(low, [need for _, need in chosen])))
 
     def body(f: Column) -> Column:
         hits = T.utf16(t, f)
@@ -433,7 +436,7 @@ def scan_code(t: Column, action: str = "block", categories=("shell", "sql", "inj
             return T.result(name, True, 1.0, t, hits, F.concat(F.lit("dangerous code detected: "), seen))
         return T.result(name, False, 1.0, t, hits, "blocked: code_exec")
 
-    return _given(t, name, T.let(F.lower(t), parts), body)
+    return _given(t, name, found, body)
 
 
 # grounding

@@ -80,12 +80,12 @@ def test_hashes(spark):
 
 @pytest.mark.parametrize("text,least,ok", [("4111 1111 1111 1111", 12, True), ("4111 1111 1111 1112", 12, False), ("046-454-286", 9, True), ("046-454-286", 12, False), ("0", 1, True)])
 def test_luhn(spark, text, least, ok):
-    assert spark.createDataFrame([(text,)], "t string").select(T.luhn_ok(F.col("t"), least)).first()[0] is ok
+    assert spark.createDataFrame([(text,)], "t string").select(T.luhn_ok(F.col("t"), F.lit(least))).first()[0] is ok
 
 
 def test_spans_at_the_edges(spark):
     df = spark.createDataFrame([("ab..ab",), ("",), ("ab",), (None,)], "t string")
-    rows = df.select(T.spans(F.col("t"), "ab", "x").alias("s")).collect()
+    rows = df.select(T.spans_of(F.col("t"), [T.Pattern("ab", "x")]).alias("s")).collect()
     assert [[(s.start, s.end) for s in r.s or []] for r in rows] == [[(0, 2), (4, 6)], [], [(0, 2)], []]
 
 
@@ -93,5 +93,15 @@ def test_overlaps_are_resolved_greedily(spark):
     # the middle span overlaps the first and goes, which leaves room for the third
     df = spark.createDataFrame([("abcdef",)], "t string")
     t = F.col("t")
-    s = F.concat(T.spans(t, "cde", "b", order=1), T.spans(t, "abc", "a"), T.spans(t, "de", "c", order=2))
+    s = T.spans_of(t, [T.Pattern("abc", "a"), T.Pattern("cde", "b"), T.Pattern("de", "c")])
     assert [x.type for x in df.select(T.resolved(s).alias("s")).first().s] == ["a", "c"]
+
+
+def test_catalogues_are_one_literal(spark):
+    """Patterns are data: which of them are tried, their order and what their spans bear."""
+    t = F.col("t")
+    df = spark.createDataFrame([("a1 b2 a3",), ("",), (None,)], "t string")
+    items = [T.Pattern("b.", "y", 0.5), T.Pattern("a.", "x")]
+    rows = df.select(T.spans_of(t, items).alias("all"), T.spans_of(t, items, T.fired([t.contains("q"), None])).alias("some"), T.literals_fired(t, [(("b", "z"), ("a",)), (("z",),)]).alias("k")).collect()
+    assert [(x.type, x.start, x.end, x.match, x.confidence, x.ord) for x in rows[0]["all"]] == [("y", 3, 5, "b2", 0.5, 0), ("x", 0, 2, "a1", 1.0, 1), ("x", 6, 8, "a3", 1.0, 1)]
+    assert [x.match for x in rows[0].some] == ["a1", "a3"] and rows[0].k == [0] and all(r["all"] == [] == r.some == r.k for r in rows[1:])

@@ -267,5 +267,5 @@ def test_gates_let_all_matches_pass(spark):
     code = ["RM -rf", "rm\t-\t/", "CHMOD 777", "Curl x | Bash", "WGET y |sh", "MKFS", "dd IF=", "Drop Table", "truncate TABLE", "Delete From x ;", "; --", "EVAL (", "exec(", "OS.system(", "SubProcess.popen(", "Runtime.getRuntime().exec(", "process.START(", "Function(", "directory.DELETE", "Unlink(", "SHUTIL.rmtree("]
     t = F.col("t")
     for text, p, gate, ci in [*zip(hits, flat, C.INJECTION_GATES, [True] * 19), *((x, p, g, ci) for x, (_, p, ci), g in zip(code, C.CODE, C.CODE_GATES))]:
-        r = spark.range(1).select(F.lit(text).alias("t")).select(F.rlike(t, F.lit(D.java(p, ci))).alias("hit"), T.has(F.lower(t), gate).alias("gate")).first()
+        r = spark.range(1).select(F.lit(text).alias("t")).select(F.rlike(t, F.lit(D.java(p, ci))).alias("hit"), (F.size(T.literals_fired(F.lower(t), [gate])) == 1).alias("gate")).first()
         assert r.hit and r.gate, text
