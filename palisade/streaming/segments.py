@@ -87,14 +87,16 @@ def guarded(parts: DataFrame, scanners: list, redaction: str | None = None) -> D
 
 
 def _prompts(prompts: DataFrame, policy: Policy, prompt: str) -> DataFrame:
-    """stream_id, in: the input stage's result."""
-    return policy.scan_input(prompts.select(F.col("stream_id").cast("string").alias("stream_id"), prompt), prompt, "in").select("stream_id", "in")
+    """stream_id, in: the input stage's result. The row number keeps filters on it
+    above it: pushed below, they would have the whole stage computed again."""
+    rows = prompts.select(F.col("stream_id").cast("string").alias("stream_id"), prompt)
+    return policy.scan_input(rows, prompt, "in").select("stream_id", "in", F.monotonically_increasing_id().alias("at"))
 
 
 def _stopped(scanned: DataFrame) -> DataFrame:
     """One empty blocked segment for each stream whose prompt is blocked."""
     found = F.flatten(F.transform("in.results", lambda r: r["findings"]))
-    rows = scanned.where("in.blocker is not null")
+    rows = scanned.where("in.blocker is not null and at >= 0")
     return rows.select("stream_id", F.lit(0).alias("seg_seq"), F.lit("").alias("text"), F.lit(True).alias("blocked"), F.col("in.blocker.reason").alias("block_reason"), found.alias("findings"))
 
 
@@ -103,7 +105,7 @@ def guarded_talk(prompts: DataFrame, chunks: DataFrame, policy: Policy, prompt:
     (stream_id, chunk_seq, chunk). Streams without a prompt aren't guarded by one
     and are left out; prompts without chunks give nothing, unless they are blocked."""
     scanned = _prompts(prompts, policy, prompt)
-    free = scanned.where("in.blocker is null").select("stream_id", F.col("in.redaction").alias("__redaction"))
+    free = scanned.where("in.blocker is null and at >= 0").select("stream_id", F.col("in.redaction").alias("__redaction"))
     parts = segments(chunks.withColumn("stream_id", F.col("stream_id").cast("string")), boundary, one_per_chunk=one_per_chunk).join(free, "stream_id")
     return guarded(parts, policy.output, "__redaction").unionByName(_stopped(scanned))
 
