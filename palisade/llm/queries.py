@@ -90,9 +90,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_sharding, op3_token_files, op4_quality, op5_decontamination, op6_line_dedup, op7_warc, op8_html, op9_token_counts, op10_bpe)}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can express: the base columns of every document."""
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return op4_quality(spark, sf_dir).select("doc_id", *columns)
+
+
+def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The laws of op2 that SQL can express: rows, slots and bytes of every shard."""
+    out = op2_sharding(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("slot").alias("n_slots"), F.max("slot").alias("last_slot"), F.sum("size").alias("bytes"))
+    whole = out.agg(F.sum("bytes").alias("all_bytes"))
+    return out.select("shard", "n_rows", "n_slots", "last_slot", whole.scalar().alias("all_bytes"))
+
+
+QUERIES = {f.__name__: f for f in (quality_base, shard_laws, op1_jaccard_join, op2_sharding, op3_token_files, op4_quality, op5_decontamination, op6_line_dedup, op7_warc, op8_html, op9_token_counts, op10_bpe)}
 
 ORACLES: dict[str, str] = {
+    "quality_base": """
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        w as (select doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from d),
+        g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from w, unnest(range(1, len(w) - 1)) as u(i)),
+        c as (select *, count(*) over (partition by doc_id, g) as n from g),
+        r as (select doc_id, count(distinct j) as n from c, unnest(range(i, i + 3)) as u(j) where n > 1 group by doc_id),
+        f as (select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l, coalesce(r.n, 0)::bigint as n_repeat_words from w left join r using (doc_id))
+        select doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, n_repeat_words,
+               n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f""",
+    "shard_laws": """
+        with d as (select count(*) as n, sum(coalesce(strlen(text), 0) + 16)::bigint as all_bytes from documents),
+        s as (select s::int as shard, (n // 40 + (s < n % 40)::int)::bigint as n_rows, all_bytes from d, range(40) as u(s))
+        select shard, n_rows, n_rows as n_slots, n_rows - 1 as last_slot, all_bytes from s where n_rows > 0""",
     "op5_decontamination": """
         with dw as (select doc_id, list_filter(regexp_split_to_array(lower_az, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
                     from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_az from documents)),
