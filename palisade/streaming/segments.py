@@ -208,7 +208,8 @@ def guard_stream(
 
     ``prompts`` is a stored table (stream_id, prompt) that has a stream's prompt
     when its first segment comes; it is scanned when the query is made, and its
-    results are written below ``path``. Each micro-batch of segments is joined to
+    results are written below ``path``. Streams whose prompts are blocked end with
+    the first batch after that. Each micro-batch of segments is joined to
     them, scanned, cut off and written to a folder of its number, and the streams
     that end in it to another; a batch that runs again replaces its own folders and
     takes only earlier batches' ends into account, so a restart changes nothing.
@@ -223,10 +224,8 @@ def guard_stream(
         ended = spark.read.schema("stream_id string, batch bigint").parquet(f"{path}/ended").where(f"batch < {number}")
         free = known.where("in.blocker is null").select("stream_id", F.col("in.redaction").alias("__redaction"))
         left = batch.join(free, "stream_id").join(ended.select("stream_id").distinct(), "stream_id", "left_anti")
-        out = guarded(left, policy.output, "__redaction")
-        if number == 0:
-            out = out.unionByName(_stopped(known))
-        out.write.mode("overwrite").parquet(f"{path}/segments/batch={number}")
+        stopped = _stopped(known).join(ended.select("stream_id").distinct(), "stream_id", "left_anti")
+        guarded(left, policy.output, "__redaction").unionByName(stopped).write.mode("overwrite").parquet(f"{path}/segments/batch={number}")
         made = spark.read.schema(GUARDED).parquet(f"{path}/segments/batch={number}")
         made.where("blocked").select("stream_id").distinct().write.mode("overwrite").parquet(f"{path}/ended/batch={number}")
 
