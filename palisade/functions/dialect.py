@@ -79,7 +79,11 @@ def java(pattern: str, ignore_case: bool = False, unicode_case: bool = False, fi
             out.append("\\" + atom)
         else:
             out.append(atom)
-    return ("(?iu)" if unicode_case else "(?i)" if ignore_case else "") + (f"(?={first})" if first else "") + "".join(out)
+    text = "".join(out)
+    if one_sided:
+        # a run of a class without @ that an @ must follow never gives characters back
+        text = re.sub(r"(\[(?!\^)[^\]@]*\]\+)@", r"\1+@", text)
+    return ("(?iu)" if unicode_case else "(?i)" if ignore_case else "") + (f"(?={first})" if first else "") + text
 
 
 def python(pattern: str):
