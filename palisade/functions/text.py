@@ -33,7 +33,10 @@ def empty(kind: str) -> Column:
 def texts(values) -> Column:
     """A constant array of texts. One literal: building plans costs driver time for every call."""
     values = list(values)
-    return F.split(F.lit("\x01".join(values)), "\x01", -1) if values else empty("string")
+    if not values:
+        return empty("string")
+    apart = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not any(c in v for v in values))
+    return F.split(F.lit(apart.join(values)), apart, -1)
 
 
 def spans(t: Column, regex: Column, type_: Column, confidence: Column, order: Column, match: bool = True) -> Column:
