@@ -455,6 +455,79 @@ def test_html_hosts_in_groups(spark):
         assert got == want
 
 
+def _articles(rnd, n, shared, copies=0):
+    """Articles of blocks of their own (equal ones twice, near copies); every other one, and some, with a notice."""
+    own = [[" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(9, 30))) for _ in range(rnd.randint(2, 5))] for _ in range(n)]
+    pages = [[*b[:1], shared[0], *b[1:]] if rnd.random() < 0.75 else b for b in own]
+    pages = [[*b, shared[1]] if rnd.random() < 0.25 else b for b in pages]
+    pages += [list(b) for b in pages[:3]]
+    base = [" ".join(f"c{j}x{i}" for i in range(40)) for j in range(4)]
+    for k in range(copies):
+        near = [b.split(" ") for b in base]
+        near[k % 4][rnd.randrange(40)] = f"z{k}"
+        pages.append([" ".join(b) for b in near])
+    return pages
+
+
+def _without_notices(pages, run=8, least=3):
+    """Article blocks that stay, from all runs of all distinct articles."""
+    distinct = list(dict.fromkeys(map(tuple, pages)))
+    on = collections.defaultdict(set)
+    for k, page in enumerate(distinct):
+        w = " ".join(page).split(" ")
+        for i in range(len(w) - run + 1):
+            on[tuple(w[i : i + run])].add(k)
+    out = []
+    for page in pages:
+        w = " ".join(page).split(" ")
+        hit = {j for i in range(len(w) - run + 1) if 2 * len(on[tuple(w[i : i + run])]) >= max(2 * least, len(distinct)) for j in range(i, i + run)}
+        at, kept, gone = 0, [], 0
+        for t in page:
+            n = len(t.split(" "))
+            if len(hit & set(range(at, at + n))) >= 0.9 * n:
+                gone += n
+            else:
+                kept.append(t)
+            at += n
+        out.append("\n\n".join(page if gone > 0.8 * at else kept))
+    return out
+
+
+def test_html_notices_in_articles():
+    """The suffix array decides inside articles: what most of a host's articles have goes, what some share stays."""
+    from palisade.llm.html_extract import main_texts
+
+    notice, passage = "sign up for our weekly letter and never miss a story again", "a passage of eight words or more that some share"
+    own = [[f"title {k}", f"text {k} of the article {k} has words {k} of its own", passage if k < 2 else f"other words {k}"] for k in range(6)]
+    pages = [f"<body><nav>menu</nav><article>{''.join(f'<p>{t}</p>' for t in [*x, notice])}</article><p>{notice}</p></body>" for x in own]
+    assert main_texts(pages) == ["\n\n".join(x) for x in own]
+    assert main_texts(pages[:2]) == ["\n\n".join([*x, notice]) for x in own[:2]]
+    assert main_texts(pages[:1] * 9) == ["\n\n".join([*own[0], notice])] * 9
+    # near copies stay whole
+    near = [["first block of this text with a good number of words " * 3 + str(k), "second block with words that are the same in every copy"] for k in range(9)]
+    assert main_texts([f"<main>{''.join(f'<p>{t}</p>' for t in x)}</main>" for x in near]) == ["\n\n".join(x) for x in near]
+
+
+def test_html_articles_in_groups(spark):
+    """Boilerplate of articles is that of the whole host, however it is cut; other pages are judged alike beside it."""
+    from palisade.llm.html_extract import COVERED, extract
+
+    rnd = random.Random(5)
+    hosts = {h: _articles(rnd, n, (f"notice of {h} that all its pages have somewhere in them", f"passage on {h} that is quoted by some of its articles"), c) for h, n, c in (("x", 60, 0), ("y", 40, 30), ("z", 2, 0), ("q", 12, 90))}
+    rows = [(i, f"http://{h}/{i}", "<nav>m</nav><article>" + "".join(f"<p>{t}</p>" for t in page) + "</article>") for h, pages in hosts.items() for i, page in enumerate(pages)]
+    want = {f"http://{h}/{i}": t for h, pages in hosts.items() for i, t in enumerate(_without_notices(pages))}
+    assert sum(t.count("notice of x") for t in want.values()) == 0 and sum(t.count("passage on x") for t in want.values()) > 5
+    others = {h: _host(rnd, 25) for h in "xw"}
+    rows += [(i, f"http://{h}/o{i}", "".join(f"<div>{t}</div>" for t in page)) for h, pages in others.items() for i, page in enumerate(pages)]
+    want |= {f"http://{h}/o{i}": "\n\n".join(t for t, c in zip(page, shares) if c < COVERED) for h, pages in others.items() for i, (page, shares) in enumerate(zip(pages, _covered(pages, 8, 3)))}
+    rows += [(1, "http://x/empty", None), (None, "http://x/empty2", "<nav>m</nav>"), (7, None, "<article>a</article>")]
+    want |= {"http://x/empty": "", "http://x/empty2": "", None: "a"}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    for size in (1 << 20, 1000, 9000):
+        got = extract(df, group_bytes=size).collect()
+        assert len(got) == len(rows) and {r.url: r.text for r in got} == want
+
+
 def test_pipeline(spark):
     """run() against the stages done plainly, each on what the one before has kept."""
     import corpus_pipeline as P
