@@ -11,9 +11,16 @@ set chooses depends on node and set alone, so a set's paths are known without
 looking at others: its elements of depth 1 are its buckets, and the paths below
 each of them travel with it. Buckets of up to ``SMALL`` sets are compared by brute
 force; larger ones are split again by the next elements of their paths, down to
-depth ``DEPTH``; what is then still larger (sets that mostly are alike), and sets
-whose elements end inside a large bucket, are compared in blocks, every block with
-every other. The number of runs follows from the target
+depth ``DEPTH``. Left are buckets that are then still larger, and the sets whose
+elements end inside a large bucket. Where more than ``SMALL`` of those are in one,
+all their sketches are compared with that of a pivot. The number of other bits is a
+metric: sets within ``REACH`` of the pivot (the near ones) are linked to it and can't
+be similar to any beyond twice that; those between are linked as well, unseen (the
+exact comparison sorts them out), so the near ones are done with and the others are
+a smaller bucket. So copies of a template cost work in proportion to their number.
+Only where no pivot has a quarter of the bucket near it, and as many as are between,
+is it compared in blocks, every block with every other: sets that share passages but
+differ. The number of runs follows from the target
 recall by the recursion p(1) = 1 - 1/e, p(d) = 1 - exp(-p(d-1)).
 
 Comparing: in buckets, sets are compared by a sketch (one bit of each of ``BITS``
@@ -34,8 +41,10 @@ the square is left for sets that lie between half the distance and the whole.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -58,6 +67,10 @@ BITS = 128
 #: Equal bits of two sketches from which sets may be similar: 0.9 of them are equal
 #: on average at 0.8; at 4 standard deviations less, 1 pair in 30,000 is missed.
 LEAST_BITS = 101
+#: Other bits, at most.
+REACH = BITS - LEAST_BITS
+#: Sets of a large bucket that are tried as its pivot.
+PIVOTS = 8
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -300,13 +313,14 @@ def _compare(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def _children(rows: DataFrame) -> DataFrame:
+    """The nodes below; rows whose paths end stay at their node, with a null p."""
     kind = "k bigint, r bigint, n int, sketch binary, p binary"
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            out = [(c, r, n, s, q) for k, r, n, s, p in zip(*(x.to_pylist() for x in b.columns)) for c, q in below(k, p)]
+            out = [(c, r, n, s, q) for k, r, n, s, p in zip(*(x.to_pylist() for x in b.columns)) for c, q in (below(k, p) if p else [(k, None)])]
             cols = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["k", "r", "n", "sketch", "p"])
 
@@ -316,7 +330,7 @@ def _children(rows: DataFrame) -> DataFrame:
 def _candidates(sets: DataFrame, root: str, similarity: float, depth: int) -> DataFrame:
     """Edges between sets that may be similar, level by level."""
     rows = sets.select("r", "n", "sketch", F.explode("paths").alias("x")).select(F.col("x.k").alias("k"), "r", "n", "sketch", F.col("x.p").alias("p"))
-    edges = None
+    edges, left = None, []
     for level in range(depth):
         count = rows.groupBy("k").count().where(f"count > {SMALL}").select("k", "count")
         large = written(count, f"{root}/large-{level}")
@@ -327,12 +341,47 @@ def _candidates(sets: DataFrame, root: str, similarity: float, depth: int) -> Da
         found = written(found.distinct(), f"{root}/found-{level}")
         edges = found if edges is None else edges.union(found)
         if rest is None:
-            return edges
+            return edges.union(_peeled(reduce(DataFrame.union, left), root, similarity)) if left else edges
         if level + 1 < depth:
-            ended = rest.where("octet_length(p) = 0")
-            edges = edges.union(written(_in_blocks(ended, similarity), f"{root}/ended-{level}"))
             rows = written(_children(rest), f"{root}/rows-{level + 1}")
-    return edges.union(written(_in_blocks(rest, similarity), f"{root}/found-blocks"))
+            left.append(rows.where("p is null").select("k", "r", "n", "sketch"))
+            rows = rows.where("p is not null")
+    left.append(rest.select("k", "r", "n", "sketch"))
+    return edges.union(_peeled(reduce(DataFrame.union, left), root, similarity))
+
+
+def _peeled(rest: DataFrame, root: str, similarity: float) -> DataFrame:
+    """Stars of large buckets (k, r, n, sketch): near copies by a pivot, round by round, what is left by brute force."""
+    edges = []
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            own, pivots = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1, BITS // 64) for c in (3, 4))
+            bits = np.bitwise_count(own ^ pivots).sum(axis=2, dtype=np.int32)
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * PIVOTS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.ListArray.from_arrays(offsets, pa.array(bits.ravel(), pa.int32()))], names=["k", "r", "n", "sketch", "h"])
+
+    # every step is written, so each join is done once
+    rest = written(rest, f"{root}/peel-left")
+    for step in itertools.count():
+        count = F.count(F.lit(1)).alias("count")
+        seen = [F.min_by(F.struct("r", "sketch"), F.xxhash64("r", F.lit(step * PIVOTS + j))).alias(f"p{j}") for j in range(PIVOTS)]
+        sketches, ids = (", ".join(f"p{j}.{c}" for j in range(PIVOTS)) for c in ("sketch", "r"))
+        pivots = written(rest.groupBy("k").agg(count, *seen).where(f"count > {SMALL}").selectExpr("k", f"concat({sketches}) as p", f"array({ids}) as ids"), f"{root}/peel-pivots-{step}")
+        edges.append(written(_compare(rest.join(pivots, "k", "left_anti"), similarity).distinct(), f"{root}/peel-found-{step}"))
+        if pivots.isEmpty():
+            return reduce(DataFrame.union, edges)
+        rows = written(rest.join(pivots.select("k", "p"), "k").select("k", "r", "n", "sketch", "p").mapInArrow(run, "k bigint, r bigint, n int, sketch binary, h array<int>"), f"{root}/peel-rows-{step}")
+        near = [F.count_if(F.col("h")[j] <= REACH).alias(f"a{j}") for j in range(PIVOTS)] + [F.count_if(F.col("h")[j].between(REACH + 1, 2 * REACH)).alias(f"b{j}") for j in range(PIVOTS)]
+        best = F.array_max(F.array(*[F.struct(F.col(f"a{j}").alias("a"), (-F.col(f"b{j}")).alias("b"), F.lit(j).alias("j")) for j in range(PIVOTS)]))
+        best = rows.groupBy("k").agg(count, *near).select("k", "count", best.alias("x")).join(pivots.select("k", "ids"), "k")
+        best = best.select("k", "count", F.expr("4 * x.a >= count and x.a >= -x.b").alias("dense"), F.col("x.j").alias("j"), F.expr("ids[x.j]").alias("u"))
+        rows = written(rows.join(written(best, f"{root}/peel-best-{step}"), "k").withColumn("h", F.expr("h[j]")), f"{root}/peel-judged-{step}")
+        edges.append(written(_in_blocks(rows.where("not dense"), similarity), f"{root}/peel-blocks-{step}"))
+        edges.append(written(rows.where(f"dense and h <= {2 * REACH} and r <> u").select("u", F.col("r").alias("v")).distinct(), f"{root}/peel-stars-{step}"))
+        rest = rows.where(f"dense and h > {REACH}").select("k", "r", "n", "sketch")
 
 
 def _in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
@@ -473,7 +522,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     first = with_words.join(groups.select(F.col("rep").alias("r")).hint("merge"), "r", "left_semi")
     edges = _candidates(first, root, similarity, depth)
     parts = components(edges, f"{root}/candidates")
-    for name in [f"{x}-{k}" for x in ("large", "found", "ended", "rows") for k in range(depth)] + ["found-blocks"]:
+    for name in [f"{x}-{k}" for x in ("large", "found", "rows") for k in range(depth)]:
         removed(spark, f"{root}/{name}")
     where = parts.join(parts.groupBy("c").count(), "c").select(F.col("v").alias("r"), "c", "count")
     members = written(_members(where.hint("merge").join(texts.select("r", "t"), "r"), n), f"{root}/members")

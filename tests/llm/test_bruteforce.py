@@ -138,6 +138,38 @@ def test_one_large_component(spark, tmp_path, monkeypatch):
     assert run_similar(spark.read.parquet(path)) == classes(rows)
 
 
+def test_near_copies_are_compared_in_proportion(spark, tmp_path, monkeypatch):
+    """Four times the near copies in one group: some four times the compared rows, not sixteen, and links as by all pairs."""
+    from palisade.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "SMALL", 32)
+    made, compare = [], J._compare
+
+    def spy(rows, similarity):
+        made.append(rows.count())
+        return compare(rows, similarity)
+
+    monkeypatch.setattr(J, "_compare", spy)
+    rnd, sums = random.Random(9), []
+    vocab = [f"v{i}" for i in range(3000)]
+    base = [rnd.choice(vocab) for _ in range(150)]
+    for n in (200, 800):
+        rows = [(i, " ".join(f"n{i}" if j in (i % 140, i % 131) else w for j, w in enumerate(base))) for i in range(n)]
+        # some that share half of it, and links among them
+        rows += [(10_000 + 2 * i + k, " ".join(base[:75] + [f"o{i}x{j}" if (j, k) != (9, 1) else "z" for j in range(75)])) for i in range(20) for k in range(2)]
+        path = str(tmp_path / f"d{n}.parquet")
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(path)
+        made.clear()
+        got = run_similar(spark.read.parquet(path))
+        sums.append(sum(made))
+        if n == 200:
+            assert got == classes(rows)
+        else:
+            assert all(got[i][0] == 0 for i in range(n))
+    print(f"compared rows {sums}")
+    assert sums[1] <= 6 * sums[0]
+
+
 def test_runs_reach_the_recall():
     from palisade.llm import jaccard_join as J
 
