@@ -9,18 +9,18 @@ used), each of which leads to a child node that all sets choosing t share. Two s
 chosen element on average, and more the more alike they are. Which elements a
 set chooses depends on node and set alone, so a set's paths are known without
 looking at others: its elements of depth 1 are its buckets, and the paths below
-each of them travel with it. Buckets of up to ``SMALL`` sets are compared by brute
-force; larger ones are split again by the next elements of their paths, down to
-depth ``DEPTH``. Left are buckets that are then still larger, and the sets whose
-elements end inside a large bucket. Where more than ``SMALL`` of those are in one,
-all their sketches are compared with that of a pivot. The number of other bits is a
-metric: sets within ``REACH`` of the pivot (the near ones) are linked to it and can't
-be similar to any beyond twice that; those between are linked as well, unseen (the
-exact comparison sorts them out), so the near ones are done with and the others are
-a smaller bucket. So copies of a template cost work in proportion to their number.
-Only where no pivot has a quarter of the bucket near it, and as many as are between,
-is it compared in blocks, every block with every other: sets that share passages but
-differ. The number of runs follows from the target
+each of them travel with it. Buckets of up to ``SMALL`` sets are compared by brute force. In
+a larger one all sketches are first compared with that of a pivot. The number of
+other bits is a metric: sets within ``REACH`` of the pivot (the near ones) are linked
+to it and can't be similar to any beyond twice that; those between are linked as well,
+unseen (the exact comparison sorts them out), so the near ones are done with and the
+others are a smaller bucket. So copies of a template cost work in proportion to their
+number, and their paths aren't followed down. Where no pivot has a quarter of the
+bucket near it, and as many as are between, the bucket is split by the next elements
+of its sets' paths, down to depth ``DEPTH``. Left are buckets that are then still
+larger, and the sets whose elements end inside a large bucket. After pivots again,
+what is left of them is compared in blocks, every block with every other: sets that
+share passages but differ. The number of runs follows from the target
 recall by the recursion p(1) = 1 - 1/e, p(d) = 1 - exp(-p(d-1)).
 
 Comparing: in buckets, sets are compared by a sketch (one bit of each of ``BITS``
@@ -330,58 +330,65 @@ def _children(rows: DataFrame) -> DataFrame:
 def _candidates(sets: DataFrame, root: str, similarity: float, depth: int) -> DataFrame:
     """Edges between sets that may be similar, level by level."""
     rows = sets.select("r", "n", "sketch", F.explode("paths").alias("x")).select(F.col("x.k").alias("k"), "r", "n", "sketch", F.col("x.p").alias("p"))
-    edges, left = None, []
-    for level in range(depth):
-        count = rows.groupBy("k").count().where(f"count > {SMALL}").select("k", "count")
-        large = written(count, f"{root}/large-{level}")
-        if large.isEmpty():
-            found, rest = _compare(rows, similarity), None
-        else:
-            found, rest = _compare(rows.join(large, "k", "left_anti"), similarity), rows.join(large, "k")
-        found = written(found.distinct(), f"{root}/found-{level}")
-        edges = found if edges is None else edges.union(found)
+    edges, left = [], []
+    for level in range(depth - 1):
+        found, rest = _peeled(rows, f"{root}/peel-{level}", similarity)
+        edges += found
         if rest is None:
-            return edges.union(_peeled(reduce(DataFrame.union, left), root, similarity)) if left else edges
-        if level + 1 < depth:
-            rows = written(_children(rest), f"{root}/rows-{level + 1}")
-            left.append(rows.where("p is null").select("k", "r", "n", "sketch"))
-            rows = rows.where("p is not null")
-    left.append(rest.select("k", "r", "n", "sketch"))
-    return edges.union(_peeled(reduce(DataFrame.union, left), root, similarity))
-
-
-def _peeled(rest: DataFrame, root: str, similarity: float) -> DataFrame:
-    """Stars of large buckets (k, r, n, sketch): near copies by a pivot, round by round, what is left by brute force."""
-    edges = []
+            break
+        rows = written(_children(rest), f"{root}/rows-{level + 1}")
+        left.append(rows.where("p is null"))
+        rows = rows.where("p is not null")
+    else:
+        left.append(rows)
+    if left:
+        found, rest = _peeled(reduce(DataFrame.union, left), f"{root}/peel-{depth - 1}", similarity)
+        edges += found
+        if rest is not None:
+            edges.append(written(_in_blocks(rest, similarity), f"{root}/blocks"))
+    return reduce(DataFrame.union, edges)
+
+
+def _peeled(rows: DataFrame, root: str, similarity: float) -> tuple[list[DataFrame], DataFrame | None]:
+    """Stars of buckets (k, r, n, sketch, p): of small ones by brute force, of near copies in large ones by a pivot,
+    round by round; and what is left, if any: large buckets (with ``count``) that no pivot has enough of near it."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            own, pivots = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1, BITS // 64) for c in (3, 4))
+            own, pivots = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1, BITS // 64) for c in (3, 5))
             bits = np.bitwise_count(own ^ pivots).sum(axis=2, dtype=np.int32)
             offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * PIVOTS)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.ListArray.from_arrays(offsets, pa.array(bits.ravel(), pa.int32()))], names=["k", "r", "n", "sketch", "h"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.ListArray.from_arrays(offsets, pa.array(bits.ravel(), pa.int32()))], names=["k", "r", "n", "sketch", "p", "h"])
 
-    # every step is written, so each join is done once
-    rest = written(rest, f"{root}/peel-left")
+    # every step is written, so each join is done once; pivots come from a few sets of each bucket, so only those are joined to find them
+    edges, sparse, one_in = [], [], max(1, SMALL // (8 * PIVOTS))
     for step in itertools.count():
         count = F.count(F.lit(1)).alias("count")
+        large = written(rows.groupBy("k").agg(count).where(f"count > {SMALL}").select("k"), f"{root}/large-{step}")
+        edges.append(written(_compare(rows.join(large, "k", "left_anti"), similarity).distinct(), f"{root}/found-{step}"))
+        if large.isEmpty():
+            break
         seen = [F.min_by(F.struct("r", "sketch"), F.xxhash64("r", F.lit(step * PIVOTS + j))).alias(f"p{j}") for j in range(PIVOTS)]
         sketches, ids = (", ".join(f"p{j}.{c}" for j in range(PIVOTS)) for c in ("sketch", "r"))
-        pivots = written(rest.groupBy("k").agg(count, *seen).where(f"count > {SMALL}").selectExpr("k", f"concat({sketches}) as p", f"array({ids}) as ids"), f"{root}/peel-pivots-{step}")
-        edges.append(written(_compare(rest.join(pivots, "k", "left_anti"), similarity).distinct(), f"{root}/peel-found-{step}"))
-        if pivots.isEmpty():
-            return reduce(DataFrame.union, edges)
-        rows = written(rest.join(pivots.select("k", "p"), "k").select("k", "r", "n", "sketch", "p").mapInArrow(run, "k bigint, r bigint, n int, sketch binary, h array<int>"), f"{root}/peel-rows-{step}")
+        pivots = large.join(rows.where(f"pmod(xxhash64(r), {one_in}) = 0").join(large, "k").groupBy("k").agg(*seen), "k", "left")
+        # a bucket without any (e to the power -64) is left
+        none = F.lit(bytes(PIVOTS * BITS // 8))
+        pivots = written(pivots.select("k", F.coalesce(F.expr(f"concat({sketches})"), none).alias("pivots"), F.expr(f"array({ids})").alias("ids")), f"{root}/pivots-{step}")
+        judged = written(rows.join(pivots.select("k", "pivots"), "k").select("k", "r", "n", "sketch", "p", "pivots").mapInArrow(run, "k bigint, r bigint, n int, sketch binary, p binary, h array<int>"), f"{root}/bits-{step}")
         near = [F.count_if(F.col("h")[j] <= REACH).alias(f"a{j}") for j in range(PIVOTS)] + [F.count_if(F.col("h")[j].between(REACH + 1, 2 * REACH)).alias(f"b{j}") for j in range(PIVOTS)]
         best = F.array_max(F.array(*[F.struct(F.col(f"a{j}").alias("a"), (-F.col(f"b{j}")).alias("b"), F.lit(j).alias("j")) for j in range(PIVOTS)]))
-        best = rows.groupBy("k").agg(count, *near).select("k", "count", best.alias("x")).join(pivots.select("k", "ids"), "k")
-        best = best.select("k", "count", F.expr("4 * x.a >= count and x.a >= -x.b").alias("dense"), F.col("x.j").alias("j"), F.expr("ids[x.j]").alias("u"))
-        rows = written(rows.join(written(best, f"{root}/peel-best-{step}"), "k").withColumn("h", F.expr("h[j]")), f"{root}/peel-judged-{step}")
-        edges.append(written(_in_blocks(rows.where("not dense"), similarity), f"{root}/peel-blocks-{step}"))
-        edges.append(written(rows.where(f"dense and h <= {2 * REACH} and r <> u").select("u", F.col("r").alias("v")).distinct(), f"{root}/peel-stars-{step}"))
-        rest = rows.where(f"dense and h > {REACH}").select("k", "r", "n", "sketch")
+        best = judged.groupBy("k").agg(count, *near).select("k", "count", best.alias("x")).join(pivots.select("k", "ids"), "k")
+        best = best.select("k", "count", F.expr("4 * x.a >= count and x.a >= -x.b and ids[x.j] is not null").alias("dense"), F.col("x.j").alias("j"), F.expr("ids[x.j]").alias("u"))
+        judged = written(judged.join(written(best, f"{root}/best-{step}"), "k").withColumn("h", F.expr("h[j]")), f"{root}/judged-{step}")
+        edges.append(written(judged.where(f"dense and h <= {2 * REACH} and r <> u").select("u", F.col("r").alias("v")).distinct(), f"{root}/stars-{step}"))
+        sparse.append(judged.where("not dense").select("k", "r", "n", "sketch", "p", "count"))
+        rows = judged.where(f"dense and h > {REACH}").select("k", "r", "n", "sketch", "p")
+    if not sparse:
+        return edges, None
+    left = reduce(DataFrame.union, sparse)
+    return edges, None if left.isEmpty() else left
 
 
 def _in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
@@ -520,10 +527,9 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     groups = written(with_words.groupBy("key").agg(F.min("r").alias("rep"), F.min(order).alias("low"), F.count(F.lit(1)).alias("copies")), f"{root}/groups")
     # joins with one row per document are sort-merge joins at every size: what is broadcast would grow with the input
     first = with_words.join(groups.select(F.col("rep").alias("r")).hint("merge"), "r", "left_semi")
-    edges = _candidates(first, root, similarity, depth)
+    edges = _candidates(first, f"{root}/buckets", similarity, depth)
     parts = components(edges, f"{root}/candidates")
-    for name in [f"{x}-{k}" for x in ("large", "found", "rows") for k in range(depth)]:
-        removed(spark, f"{root}/{name}")
+    removed(spark, f"{root}/buckets")
     where = parts.join(parts.groupBy("c").count(), "c").select(F.col("v").alias("r"), "c", "count")
     members = written(_members(where.hint("merge").join(texts.select("r", "t"), "r"), n), f"{root}/members")
     links = written(_compared(members, root, similarity), f"{root}/links")

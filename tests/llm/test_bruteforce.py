@@ -170,6 +170,31 @@ def test_near_copies_are_compared_in_proportion(spark, tmp_path, monkeypatch):
     assert sums[1] <= 6 * sums[0]
 
 
+def test_near_copies_are_not_split(spark, tmp_path, monkeypatch):
+    """Near copies in large buckets go by pivots where they first meet, so their paths aren't followed down; links as by all pairs."""
+    from palisade.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "SMALL", 32)
+    split, children = [], J._children
+
+    def spy(rows):
+        split.append(rows.count())
+        return children(rows)
+
+    monkeypatch.setattr(J, "_children", spy)
+    rnd = random.Random(11)
+    base = [f"v{rnd.randrange(3000)}" for _ in range(150)]
+    rows = [(i, " ".join(f"n{i}" if j in (i % 140, i % 131) else w for j, w in enumerate(base))) for i in range(300)]
+    rows += [(1000 + i, " ".join(base)) for i in range(50)]
+    # few texts that share a quarter of it, and links among them
+    rows += [(10_000 + 2 * i + k, " ".join(base[:40] + [f"o{i}x{j}" if (j, k) != (9, 1) else "z" for j in range(110)])) for i in range(10) for k in range(2)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(path)
+    assert run_similar(spark.read.parquet(path)) == classes(rows)
+    print(f"split rows {split}")
+    assert sum(split) <= 5 * 300
+
+
 def test_runs_reach_the_recall():
     from palisade.llm import jaccard_join as J
 
